@@ -6,21 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weblattice.llm import mixing, url_filter
+from weblattice.llm import bpe, language_id, mixing, toxicity, url_filter, warc
+from weblattice.sources.scratch import cut, fresh
 from weblattice.sources.tables import read_table
 
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+def tokenizer(name: str = TOKENIZER) -> bpe.Bpe:
+    """The public tokenizer of that name, as installed on the driver."""
+    import public_tokenizers
+
+    return bpe.load(public_tokenizers.path(name), public_tokenizers.PATTERN)
+
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.QUERY_RULES))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = tokenizer()
+    return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), codec), codec))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels.where(~language_id.held_out(labels.doc_id))))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh(spark, "warc")
+    written = cut(warc.write(read_table(spark, sf_dir, "pages"), folder), "warc-files")
+    return warc.index(warc.read_chunks(spark, written, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op7_mixing": op7_mixing}
+    return {f.__name__: f for f in (op1_url_filters, op3_bpe, op6_language_id, op7_mixing, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op1_url_filters": url_filter.ORACLE, "op7_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
