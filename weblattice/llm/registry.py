@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weblattice.llm import bpe, language_id, mixing, toxicity, url_filter, warc
+from weblattice.llm import bpe, fingerprints, language_id, licenses, mixing, quality, toxicity, url_filter, warc
 from weblattice.sources.scratch import cut, fresh
 from weblattice.sources.tables import read_table
 
@@ -29,6 +30,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), codec), codec))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(read_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("spans").cast("long").alias("n_licenses"), "n_sentences", "n_unmatched")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +47,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels.where(~language_id.held_out(labels.doc_id))))
@@ -49,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op3_bpe, op6_language_id, op7_mixing, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filters, op3_bpe, op4_fingerprints, op5_license_scan, op6_language_id, op7_mixing, op8_quality, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
