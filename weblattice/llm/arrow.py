@@ -11,13 +11,13 @@ import pyarrow as pa
 def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of the batches of about ``size`` characters, with the texts of one column; a longer text is a slice of its own."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        start = total = 0
-        for k, text in enumerate(texts):
-            total += len(text or "")
-            if total >= size or k + 1 == len(texts):
-                yield batch.slice(start, k + 1 - start), texts[start : k + 1]
-                start, total = k + 1, 0
+        start, held, total = 0, [], 0
+        for k, value in enumerate(batch.column(column)):
+            held.append(value.as_py())
+            total += len(held[-1] or "")
+            if total >= size or k + 1 == batch.num_rows:
+                yield batch.slice(start, k + 1 - start), held
+                start, held, total = k + 1, [], 0
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

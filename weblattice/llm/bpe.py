@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weblattice.llm.arrow import pieces
+
 #: White space as Unicode's property has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Pieces at whose bounds the pre-tokens of any pattern of this family also have bounds: a word with one blank before it, or white space.
@@ -126,7 +128,7 @@ class Memo:
 class Bpe:
     """An encoder and decoder for one vocabulary and split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 1 << 18):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 1 << 16):
         self.pattern, self.memo = pattern, memo
         self.lookup = PerfectHash(list(ranks))
         self.slot_ids = np.array([ranks[k] for k in self.lookup.keys], np.uint32)
@@ -223,8 +225,8 @@ def encode(docs: DataFrame, bpe: Bpe, id_col: str = "doc_id", text_col: str = "t
     sent = docs.sparkSession.sparkContext.broadcast(bpe)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [sent.value.encode(t) for t in batch.column(1).to_pylist()]
+        for batch, texts in pieces(batches, 1):
+            ids = [sent.value.encode(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -236,7 +238,7 @@ def decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(bpe)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             decoded = [sent.value.decode(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
@@ -244,6 +246,20 @@ def decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
 
 
+def encode_decode(docs: DataFrame, bpe: Bpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and decoded of every row: ``encode`` and ``decode`` in one pass of the workers."""
+    sent = docs.sparkSession.sparkContext.broadcast(bpe)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, 1):
+            ids = [sent.value.encode(t) for t in texts]
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([sent.value.decode(x) for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """The digest columns: SHA-256 of the ids and of the decoded bytes."""
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

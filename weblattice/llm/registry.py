@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblattice.llm import bpe, fingerprints, language_id, licenses, mixing, quality, toxicity, url_filter, warc
+from weblattice.llm import bpe, fingerprints, jaccard, language_id, licenses, mixing, quality, toxicity, url_filter, warc
 from weblattice.sources.scratch import cut, fresh
 from weblattice.sources.tables import read_table
 
@@ -25,9 +25,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.QUERY_RULES))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(read_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codec = tokenizer()
-    return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), codec), codec))
+    return bpe.digests(bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer()))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +67,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op3_bpe, op4_fingerprints, op5_license_scan, op6_language_id, op7_mixing, op8_quality, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filters, op2_jaccard_join, op3_bpe, op4_fingerprints, op5_license_scan, op6_language_id, op7_mixing, op8_quality, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.ORACLE, "op7_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_url_filters": url_filter.ORACLE, "op2_jaccard_join": jaccard.ORACLE, "op7_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}

@@ -53,22 +53,25 @@ class ToxicityModel:
 
 
 def fit(texts: list[str | None], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4, 5), bits: int = 18, features: int = 4096, rounds: int = 200, penalty: float = 1.0) -> ToxicityModel:
-    owner, bucket = presence(texts, sizes, bits)
     n, dims = len(texts), 1 << bits
     toxic = labels == 1
     if not toxic.any() or toxic.all():
         return ToxicityModel(np.zeros(dims), np.zeros(dims, bool), -50.0, sizes, bits)
-    seen = np.bincount(bucket, minlength=dims)
-    pos = np.bincount(bucket[toxic[owner]], minlength=dims) + 1.0
-    neg = np.bincount(bucket[~toxic[owner]], minlength=dims) + 1.0
-    ratio = np.log((pos / (toxic.sum() + 2)) / (neg / ((~toxic).sum() + 2)))
+    slices = [slice(k, k + 32) for k in range(0, n, 32)]
+    seen, pos = np.zeros(dims, np.int64), np.zeros(dims, np.int64)
+    for part in slices:
+        owner, bucket = presence(texts[part], sizes, bits)
+        seen += np.bincount(bucket, minlength=dims)
+        pos += np.bincount(bucket[toxic[part][owner]], minlength=dims)
+    ratio = np.log(((pos + 1.0) / (toxic.sum() + 2)) / ((seen - pos + 1.0) / ((~toxic).sum() + 2)))
     # the n-grams that tell most: the ratio, weighed by the root of how many texts have them
     worth = np.abs(ratio) * np.sqrt(seen)
     chosen = np.argsort(-worth, kind="stable")[: min(features, int((worth > 0).sum()))]
     wanted = np.zeros(dims, bool)
     wanted[chosen] = True
-    keep = wanted[bucket]
-    owner, bucket = owner[keep], bucket[keep]
+    parts = [presence(texts[part], sizes, bits, wanted) for part in slices]
+    owner = np.concatenate([o + part.start for (o, _), part in zip(parts, slices, strict=True)])
+    bucket = np.concatenate([b for _, b in parts])
     value, target = ratio[bucket], toxic.astype(float)
     share = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (~toxic).mean()) / n
     w, b = np.zeros(dims), 0.0
