@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,9 +27,17 @@ def http_host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, HTTP_HOST, 1)), F.lit(""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written, and evaluated, once: keeps nested expressions small enough to be compiled."""
+    return F.transform(F.array(value), body)[0]
+
+
 def registered_domain(host: Column) -> Column:
     """The label before the longest known suffix, with the suffix; null where no suffix fits or nothing stands before it."""
-    labels = F.split(host, r"\.")
+    return _let(F.split(host, r"\."), _registered)
+
+
+def _registered(labels: Column) -> Column:
     n = F.size(labels)
     tail = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
     long = (n >= 2) & tail(2).isin(LONG_SUFFIXES)
@@ -44,12 +52,22 @@ def shard_key(host: Column, split_hosts: Iterable[str] = ()) -> Column:
 
 
 def md5_mod(key: Column, shards: int) -> Column:
-    """The MD5 of a key, as a big number, modulo ``shards``: Horner's rule over its four 32-bit words."""
-    digest, total = F.md5(key.cast("binary")), F.lit(0).cast("long")
-    for k in range(4):
-        word = F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
-        total = (total * ((1 << 32) % shards) + word) % shards
-    return total.cast("int")
+    """The MD5 of a key, as a big number, modulo ``shards``: Horner's rule over its four 32-bit words.
+
+    Where 2**32 is a multiple of ``shards`` the last word alone decides.
+    """
+    word = lambda digest, k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
+    digest = F.md5(key.cast("binary"))
+    if (1 << 32) % shards == 0:
+        return (word(digest, 3) % shards).cast("int")
+
+    def horner(text: Column) -> Column:
+        total = word(text, 0) % shards
+        for k in range(1, 4):
+            total = (total * ((1 << 32) % shards) + word(text, k)) % shards
+        return total
+
+    return _let(digest, horner).cast("int")
 
 
 def shard_of(key: Column, shards: int = 256, pinned: Mapping[str, int] | None = None) -> Column:

@@ -158,6 +158,8 @@ def all_oracles() -> dict[str, str]:
         "domain_registry": _seen_and_known() + ", fresh AS (SELECT domain, new_shard FROM seen WHERE domain NOT IN (SELECT domain FROM known)) SELECT (row_number() OVER (ORDER BY substr(md5(domain), 1, 3), domain) + coalesce((SELECT max(domain_id) FROM known), 0))::BIGINT AS domain_id, domain, new_shard AS shard_id, 0.0::DOUBLE AS domain_score, 'new' AS change FROM fresh UNION ALL SELECT domain_id, domain, CASE WHEN new_shard IS NOT NULL THEN new_shard ELSE shard_id END, 0.5::DOUBLE, CASE WHEN new_shard IS NOT NULL AND new_shard IS DISTINCT FROM shard_id THEN 'moved' ELSE 'same' END FROM known LEFT JOIN seen USING (domain)",
         "domain_overview": f"WITH {DOMAINS}, {LINKS}, n AS (SELECT seq, count(*) AS links FROM links WHERE length(url) <= 2500 GROUP BY seq) SELECT domain, shard_id, sum((status = 'ok')::INT)::BIGINT AS num_fetch_ok, sum(coalesce(links, 0))::BIGINT AS num_links FROM hd LEFT JOIN n USING (seq) GROUP BY domain, shard_id",
         "ingest_current": FOLDS + " SELECT * FROM f1_state",
+        "stream_ingest": FOLDS + " SELECT * FROM f1_state",
+        "stream_event_counters": f"WITH {COUNTERS} SELECT * FROM counters",
         "ingest_history": FOLDS + " SELECT * EXCLUDE (source) REPLACE (step::INT AS step) FROM f1",
         "ingest_snapshots": FOLDS + " SELECT CAST(domain_id % 16 AS INT) AS shard_id, (row_number() OVER (PARTITION BY domain_id % 16 ORDER BY batch_no, kind, seq) + CASE WHEN domain_id % 16 < 8 THEN 1000 * (domain_id % 16) ELSE 0 END)::BIGINT AS snapshot_id, url, seq FROM f1",
         "ingest_outcomes": FOLDS + " SELECT domain_id, sum(inserted::INT)::BIGINT AS new_links, sum(is_ok::INT)::BIGINT AS num_fetch_ok, sum((kind = 1 AND NOT is_ok)::INT)::BIGINT AS num_fetch_fail, sum(is_upd::INT)::BIGINT AS num_content_update FROM f1 GROUP BY domain_id",

@@ -13,7 +13,11 @@ from weblattice.functions import keys as K
 from weblattice.operators import ingest, maintain, routing, selection, stats
 from weblattice.plans import oracles
 from weblattice.sources import derive
+from weblattice.sources.records import MICROS
+from weblattice.sources.scratch import fresh
+from weblattice.sources.store import Store
 from weblattice.sources.tables import read_table
+from weblattice.streaming import ingest as streaming
 
 #: Parameters of the registered queries.
 NOW = "2024-02-01 00:00:00"
@@ -400,13 +404,33 @@ def parse_pages(spark, sf_dir):
     return H.extract_pages(read_table(spark, sf_dir, "pages").select("url", "html")).select("url", "title", F.size("outlinks").alias("num_links"))
 
 
+def stream_ingest(spark, sf_dir):
+    """The fetch log as two JSON files, streamed into a store one file at a time; the current state afterwards."""
+    base = fresh(spark, "stream")
+    log, split = derive.fetch_log(spark, sf_dir), F.lit(derive.SPLIT_AT).cast("timestamp")
+    store = Store(spark, f"{base}/store")
+    for part in (F.col("ts") < split, F.col("ts") >= split):
+        log.where(part).coalesce(1).write.mode("append").option("timestampFormat", MICROS).json(f"{base}/in")
+        streaming.run(streaming.source(spark, f"{base}/in", files_per_batch=1), store, f"{base}/checkpoint").awaitTermination()
+    return store.read("url_state_current")
+
+
+def stream_event_counters(spark, sf_dir):
+    """The same stream's daily counters."""
+    base = fresh(spark, "stream")
+    derive.fetch_log(spark, sf_dir).coalesce(1).write.option("timestampFormat", MICROS).json(f"{base}/in")
+    store = Store(spark, f"{base}/store")
+    streaming.run(streaming.source(spark, f"{base}/in"), store, f"{base}/checkpoint").awaitTermination()
+    return store.read("url_event_counter")
+
+
 QUERIES = [
     shard_assign, shard_assign_split, shard_distribution, host_counts, extract_titles, page_overview, outlinks_exploded, route_new_links, domain_registry, domain_overview, ingest_current, ingest_history,
     ingest_snapshots, ingest_outcomes, event_counter_daily, event_counter_merge, content_feature_current, content_feature_history, select_topk_by_domain, select_with_exclusions, schedule_update, queue_pop,
     queue_upsert, refill_decision, rolloff_counters, rolloff_history, rolloff_events, rolloff_report, rolloff_missing, summary_daily, domain_stats_daily, unknown_domain_deadletter, fail_reason_histogram,
     fail_reason_maps, qps_per_worker, qps_sliding, qps_topk_domain, success_rate, latency_percentiles, heartbeat_avg, gauge_running_max, pending_per_domain, ingest_lag, batch_errors_5m, error_kinds, error_tail,
     label_filter, time_buckets, golden_inject_plan, oversized_urls, merge_subdomains, merge_event_rows, newest_feature_rows, shard_split_plan, unsplit_plan, parent_reshard_plan, prefer_destination,
-    snapshot_resync, url_link_edges, qps_policy, dns_names, canonicalize_urls, parse_pages,
+    snapshot_resync, url_link_edges, qps_policy, dns_names, canonicalize_urls, parse_pages, stream_ingest, stream_event_counters,
 ]
 
 
