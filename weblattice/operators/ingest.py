@@ -23,7 +23,7 @@ def no_state(spark) -> DataFrame:
 
 
 def fold(records: DataFrame, current: DataFrame, most: int = MAX_URL) -> DataFrame:
-    """Every state that a record leaves behind: the STATE columns, and seq, batch_no, kind, is_ok, is_upd, fail_reason, inserted and step.
+    """Every state that a record leaves behind: the STATE columns, and seq, batch_no, kind, ts, is_ok, is_upd, fail_reason, inserted and step.
 
     Links to known URLs leave none. ``records``: seq, batch_no, kind, ts, url, domain_id, status, fail_reason, content_hash, title, discovered_from, domain_score.
     """
@@ -62,7 +62,7 @@ def fold(records: DataFrame, current: DataFrame, most: int = MAX_URL) -> DataFra
         latest(F.col("new_hash"), "content_hash").alias("content_hash"), is_link.alias("should_crawl"), F.coalesce("b_url_score", F.lit(0.0)).alias("url_score"),
         at_insert(F.when(is_link, F.coalesce("domain_score", F.lit(0.0))).otherwise(0.0), "domain_score").alias("domain_score"), latest(F.when(F.col("is_ok"), F.col("title")), "title").alias("title"),
         F.coalesce("b_source", F.lit(0)).cast("int").alias("source"), at_insert(F.when(is_link, F.col("discovered_from")), "discovered_from").alias("discovered_from"),
-        "seq", "batch_no", "kind", "is_ok", "is_upd", F.when(F.col("is_fail"), F.col("fail_reason")).alias("fail_reason"), "inserted", F.row_number().over(order).alias("step"),
+        "seq", "batch_no", "kind", "ts", "is_ok", "is_upd", F.when(F.col("is_fail"), F.col("fail_reason")).alias("fail_reason"), "inserted", F.row_number().over(order).alias("step"),
     )
 
 

@@ -7,7 +7,6 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblattice.functions import html as H
 from weblattice.functions import keys as K
 
 
@@ -83,6 +82,3 @@ def latest_features(rows: DataFrame, current: DataFrame | None = None) -> DataFr
 def with_rates(domains: DataFrame, rates: DataFrame, delay: float = 5.0, concurrency: int = 4) -> DataFrame:
     """Politeness of each host, with defaults."""
     return domains.join(rates, "host", "left").withColumn("delay", F.coalesce("delay", F.lit(delay))).withColumn("concurrency", F.coalesce("concurrency", F.lit(concurrency)))
-
-
-__all__ = [x for x in dir() if not x.startswith("_") and x not in ("annotations", "Iterable", "Mapping", "DataFrame", "Window", "F", "H", "K")]

@@ -104,15 +104,15 @@ def fold(name: str, records: str, base: str | None) -> str:
   coalesce(last_value(nh IGNORE NULLS) OVER ({w}), b_content_hash) AS content_hash, kind = 0 AS should_crawl, coalesce(b_url_score, 0.0)::DOUBLE AS url_score,
   CASE WHEN known THEN b_domain_score ELSE first_value(CASE WHEN kind = 0 THEN domain_score ELSE 0.0 END) OVER ({w}) END AS domain_score, coalesce(last_value(CASE WHEN is_ok THEN title END IGNORE NULLS) OVER ({w}), b_title) AS title,
   coalesce(b_source, 0)::INT AS source, CASE WHEN known THEN b_discovered_from ELSE first_value(CASE WHEN kind = 0 THEN discovered_from END) OVER ({w}) END AS discovered_from,
-  seq, batch_no, kind, is_ok, is_upd, CASE WHEN is_fail THEN fail_reason END AS fail_reason, inserted, row_number() OVER ({w}) AS step FROM {name}_5),
+  seq, batch_no, kind, ts, is_ok, is_upd, CASE WHEN is_fail THEN fail_reason END AS fail_reason, inserted, row_number() OVER ({w}) AS step FROM {name}_5),
 {name}_last AS (SELECT {state} FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY step DESC) AS k FROM {name}) WHERE k = 1),
 {name}_state AS (SELECT * FROM {name}_last {f"UNION ALL SELECT {state} FROM {base} WHERE url NOT IN (SELECT url FROM {name}_last)" if base else ""})"""
 
 
 FOLDS = f"WITH {LOG}, early AS (SELECT * FROM fetch_log WHERE ts < {SPLIT}), late AS (SELECT * FROM fetch_log WHERE ts >= {SPLIT}), {fold('f0', 'early', None)}, {fold('f1', 'late', 'f0_state')}"
 COUNTERS = f"""{LOG}, {fold("f", "fetch_log", None)},
-counters AS (SELECT f.url, l.day AS event_date, 0::BIGINT AS num_scheduled, sum(f.is_ok::INT)::BIGINT AS num_fetch_ok, sum((NOT f.is_ok)::INT)::BIGINT AS num_fetch_fail, sum(f.is_upd::INT)::BIGINT AS num_content_update, true AS accounted
-  FROM f JOIN fetch_log l USING (seq) WHERE f.kind = 1 GROUP BY ALL)"""
+counters AS (SELECT url, CAST(ts AS DATE) AS event_date, 0::BIGINT AS num_scheduled, sum(is_ok::INT)::BIGINT AS num_fetch_ok, sum((NOT is_ok)::INT)::BIGINT AS num_fetch_fail, sum(is_upd::INT)::BIGINT AS num_content_update, true AS accounted
+  FROM f WHERE kind = 1 GROUP BY ALL)"""
 _C = ["num_scheduled", "num_fetch_ok", "num_fetch_fail", "num_content_update"]
 _DOMAIN = "CAST(regexp_extract(url, 'd([0-9]+)', 1) AS BIGINT)"
 ROLLED = f"""{COUNTERS},

@@ -121,8 +121,7 @@ def ingest_outcomes(spark, sf_dir):
 
 def _counters(spark, sf_dir):
     log = derive.fetch_log(spark, sf_dir)
-    folded = ingest.fold(log, ingest.no_state(spark))
-    return ingest.event_counters(folded.join(log.select("seq", "day"), "seq"), F.col("day"))
+    return ingest.event_counters(ingest.fold(log, ingest.no_state(spark)), F.to_date("ts"))
 
 
 def event_counter_daily(spark, sf_dir):

@@ -28,7 +28,7 @@ def fold_batch(store: Store, rows: DataFrame, batch: int) -> bool:
     current = store.read("url_state_current", ingest.no_state(spark))
     folded = ingest.fold(rows, current).persist()
     try:
-        added = ingest.event_counters(folded.join(rows.select("seq", "day"), "seq"), F.col("day"))
+        added = ingest.event_counters(folded, F.to_date("ts"))
         counters = store.read("url_event_counter", spark.createDataFrame([], _COUNTER))
         return store.commit({"url_state_current": ingest.apply_fold(folded, current), "url_event_counter": ingest.merge_counters(counters, added)}, {"url_state_history": folded}, batch)
     finally:
