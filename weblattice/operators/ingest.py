@@ -68,9 +68,10 @@ def fold(records: DataFrame, current: DataFrame, most: int = MAX_URL) -> DataFra
 
 def apply_fold(folded: DataFrame, current: DataFrame) -> DataFrame:
     """The current rows after a fold: the last state of each URL it touched, and all others as they were."""
+    # stored rows count as a step before all others: the fold is computed once, and one window picks the last step
+    steps = folded.select(*STATE, "step").unionByName(current.select(*STATE, F.lit(0).alias("step")))
     newest = Window.partitionBy("url").orderBy(F.desc("step"))
-    last = folded.withColumn("_k", F.row_number().over(newest)).where("_k = 1").select(*STATE)
-    return last.unionByName(current.select(*STATE).join(last.select("url"), "url", "left_anti"))
+    return steps.withColumn("_k", F.row_number().over(newest)).where("_k = 1").select(*STATE)
 
 
 def outcomes(folded: DataFrame, by: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from weblattice.operators import ingest, maintain, routing, selection, stats
 from weblattice.plans import oracles
 from weblattice.sources import derive
 from weblattice.sources.records import MICROS
-from weblattice.sources.scratch import fresh
+from weblattice.sources.scratch import cut, fresh
 from weblattice.sources.store import Store
 from weblattice.sources.tables import read_table
 from weblattice.streaming import ingest as streaming
@@ -39,7 +39,7 @@ def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     log = derive.fetch_log(spark, sf_dir)
     split = F.lit(derive.SPLIT_AT).cast("timestamp")
     none = ingest.no_state(spark)
-    base = ingest.apply_fold(ingest.fold(log.where(F.col("ts") < split), none), none)
+    base = cut(ingest.apply_fold(ingest.fold(log.where(F.col("ts") < split), none), none), "state")
     folded = ingest.fold(log.where(F.col("ts") >= split), base)
     return base, folded, ingest.apply_fold(folded, base)
 

@@ -6,6 +6,8 @@ machine) is a temporary folder made. A written table cuts the lineage and surviv
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weblattice-")
+        made = tempfile.mkdtemp(prefix="weblattice-")
+        atexit.register(shutil.rmtree, made, True)
+        _OWN[app] = f"file://{made}"
     return _OWN[app]
 
 
