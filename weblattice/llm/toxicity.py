@@ -52,7 +52,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4, 5), bits: int = 18, features: int = 4096, rounds: int = 200, penalty: float = 1.0) -> ToxicityModel:
+def fit(texts: list[str | None], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4, 5), bits: int = 18, features: int = 1024, rounds: int = 400, penalty: float = 5.0) -> ToxicityModel:
     n, dims = len(texts), 1 << bits
     toxic = labels == 1
     if not toxic.any() or toxic.all():
