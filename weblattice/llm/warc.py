@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblattice.sources.scratch import cut
+
 CHUNK = 1 << 16
 #: The version line, the profile of a revisit and the header of the payload's length.
 VERSION = b"WARC/1.1"
@@ -74,7 +76,8 @@ def payload_digests(pages: DataFrame, id_col: str = "page_id", payload_col: str
 
 def decisions(digests: DataFrame, least: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest and refers_to (null for responses), once for each id and payload."""
-    first = digests.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"))
+    # written, so that the join can split the rows of a payload that very many pages have
+    first = cut(digests.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first")), "first")
     rows = digests.distinct().join(first, ["payload_digest", "payload_bytes"])
     refers = F.when((F.col("payload_bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.select("page_id", "payload_bytes", "payload_digest", refers.alias("refers_to"))
@@ -107,7 +110,7 @@ def _members(page_id: object, url: str | None, payload: bytes, digest: str, refe
 
 def write(pages: DataFrame, folder: str, least: int = 0, level: int = 1, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write the archives of ``pages`` to ``folder``; the names of the files and their numbers of records."""
-    chosen = decisions(payload_digests(pages, id_col, payload_col), least)
+    chosen = decisions(cut(payload_digests(pages, id_col, payload_col), "digests"), least)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("binary").alias("payload"))
     rows = rows.withColumn("hex", F.sha1(F.coalesce("payload", F.lit(b""))))
     chosen = chosen.select(F.col("page_id").alias("id"), "payload_digest", "refers_to")
