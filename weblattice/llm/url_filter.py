@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblattice.sources.scratch import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT_VERDICT = "allow"
 
@@ -79,7 +81,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     hits = expressions.join(rules, F.col("prefix") == F.col("r_prefix")).where((F.col("digest") == F.col("r_digest")) & F.startswith("path", "r_path"))
     rule = F.concat("r_host", "r_path")
     best = F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), (F.col("r_verdict") == "block").cast("int").alias("b"), rule.alias("rule"), F.col("r_verdict").alias("verdict")))
-    won = hits.groupBy("url").agg(best.alias("best")).select("url", "best.rule", "best.verdict")
+    # written, so that the join can split the rows of a URL that very many pages have
+    won = cut(hits.groupBy("url").agg(best.alias("best")).select("url", "best.rule", "best.verdict"), "verdicts")
     return rows.join(won, "url", "left").select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
 
 
