@@ -316,6 +316,29 @@ def test_quality_keeps_good_documents(spark, sf_dir):
     assert all(r["kept"] for r in rows if good[r["doc_id"]] == 1)
 
 
+def test_quality_rejects_bad_documents(spark, sf_dir):
+    """Recall on labelled junk and false alarms, with limits that see no label; menus with separators are the hard kind."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in registry.op8_quality(spark, folder).collect() if r["doc_id"] in labels and not r["base_failed"]]
+    bad, good = ([r["kept"] for r in rows if labels[r["doc_id"]] == q] for q in (0, 1))
+    assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.99 * len(good)
+
+
+def test_quality_limits():
+    steps = np.zeros(1000)
+    steps[100:110], steps[300:310] = 95, 5  # two kinds, apart
+    assert 0.11 <= quality.limit(steps) <= 0.30
+    steps[300:310] = 0  # one kind: all of it is kept
+    assert quality.limit(steps) >= 0.11
+    only = np.zeros(1000)
+    only[999] = 3
+    assert quality.limit(only) >= 1
+    assert quality.length_class(np.array([0, 1, 2, 63, 64, 127])).tolist() == [0, 0, 1, 5, 6, 6]
+    limits = quality.Limits({("en", 6): 0.1, "en": 0.2, None: 0.3}, {("en", 6): 0.4, "en": 0.5, None: 0.6})
+    assert [x.tolist() for x in limits.of(np.array(["en", "en", "fr"], object), np.array([6, 7, 6]))] == [[0.1, 0.2, 0.3], [0.4, 0.5, 0.6]]
+
+
 # --- URLs, mixing, archives
 
 

@@ -3,7 +3,12 @@
 Two histograms are taken of every document: of character classes, and of the common words of the languages (with all
 other words as one more class). The same histograms, summed over all documents of a language that pass the base rules, are that language's
 references. A document is compared with every reference by Jensen-Shannon distance (base 2, 0 to 1), the nearest counts, and it is rejected when
-a histogram with enough entries is farther from it than the limit. Reference sums are made by each task and merged by language; both passes read all documents.
+a histogram with enough entries is farther from it than the limit. Reference sums are made by each task and merged by language.
+
+Limits come from the spread of the distances of all documents that pass the base rules, by nearest language and length (powers of two of the word count): the
+larger of the outer fence of the quartiles (Q3 + 3 (Q3 - Q1)) and the threshold that parts the distances best in two (Otsu's). The fence keeps a table without junk whole, the
+threshold finds the gap where there is junk. No label is used. A group with fewer than ``LEAST_GROUP`` documents takes the limits of its language, or of all. References, spread and verdicts
+each read all documents.
 
 Base rules fail a document with fewer than ``least_words`` words, or more than half of whose words lie in repeated three-word windows.
 
@@ -33,11 +38,13 @@ COMMON_WORDS = {
 }
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, LEAST_CHARS = 50, 200
-#: Limits of the distance to the nearest reference, for characters and for words.
-CHAR_LIMIT, WORD_LIMIT = 0.30, 0.36
+#: Marks that separate the entries of menus and tables, a class of their own.
+SEPARATORS = b"|<>"
+#: Steps in which distances are counted, and the fewest documents of a group with limits of its own.
+STEPS, LEAST_GROUP = 1000, 100
 
 _WORDS = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
-_CLASSES = 9
+_CLASSES = 10
 
 
 def _classes() -> np.ndarray:
@@ -51,6 +58,8 @@ def _classes() -> np.ndarray:
         kind[c] = 5
     for c in SYMBOLS:
         kind[c] = 6
+    for c in SEPARATORS:
+        kind[c] = 9
     kind[0xC0:] = 7
     kind[0x80:0xC0] = _CLASSES
     return kind
@@ -167,15 +176,15 @@ class References:
     chars: dict[str, np.ndarray]
     words: dict[str, np.ndarray]
 
-    def nearest(self, seen: Measures) -> tuple[np.ndarray, np.ndarray]:
-        """Distances of characters and words to the reference whose sum of both is least."""
+    def nearest(self, seen: Measures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances of characters and words to the reference whose sum of both is least, and its language."""
         n = len(seen.chars)
         if not self.chars:
-            return np.zeros(n), np.zeros(n)
+            return np.zeros(n), np.zeros(n), np.full(n, None, object)
         chars = np.stack([distances(seen.chars, self.chars[x]) for x in self.chars])
         words = np.stack([distances(seen.words, self.words[x]) for x in self.chars])
         best = (chars + words).argmin(axis=0)
-        return chars[best, np.arange(n)], words[best, np.arange(n)]
+        return chars[best, np.arange(n)], words[best, np.arange(n)], np.array(list(self.chars), object)[best]
 
 
 def references(docs: DataFrame, most_languages: int = 256) -> References:
@@ -207,17 +216,77 @@ def references(docs: DataFrame, most_languages: int = 256) -> References:
     return found
 
 
-def judge(docs: DataFrame, known: References, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base counts, base_failed, both distances and kept of every row."""
+def length_class(n_words: np.ndarray) -> np.ndarray:
+    """The power of two of each word count."""
+    return np.frexp(np.maximum(n_words, 1).astype(np.float64))[1] - 1
+
+
+def limit(counts: np.ndarray) -> float:
+    """The larger of the outer fence of the quartiles and Otsu's threshold, for counts of distances in equal steps from 0 to 1."""
+    part = np.cumsum(counts) / counts.sum()
+    low, high = (np.searchsorted(part, x) + 1 for x in (0.25, 0.75))
+    mean = np.cumsum(counts * (np.arange(len(counts)) + 0.5)) / counts.sum()
+    inside = (part > 0) & (part < 1 - 1e-12)
+    between = np.where(inside, (mean[-1] * part - mean) ** 2 / np.where(inside, part * (1 - part), 1), 0)
+    best = np.flatnonzero(between >= between.max() * (1 - 1e-9))  # one gap, of which the middle counts
+    return max(high + 3 * (high - low), (best[0] + best[-1]) / 2 + 1 if inside.any() else 0) / len(counts)
+
+
+@dataclass
+class Limits:
+    """Limits of both distances by language and length class, by language, and of all (None)."""
+
+    chars: dict
+    words: dict
+
+    def of(self, langs: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = [next((k for k in ((g, int(x)), g, None) if k in self.chars), None) for g, x in zip(langs, lengths, strict=True)]
+        return tuple(np.array([own.get(k, np.inf) for k in keys], np.float64) for own in (self.chars, self.words))
+
+
+def spread(docs: DataFrame, known: References, text_col: str = "text") -> Limits:
+    """Limits from the distances of all documents that pass the base rules."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
+    langs = list(known.chars)
+    place = {g: k for k, g in enumerate(langs)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for _, texts in pieces(batches, 0):
+            seen = measure(texts)
+            chars, words, of = sent.value.nearest(seen)
+            good, lengths = ~base_failed(seen.base), length_class(seen.base["n_words"])
+            for k in np.flatnonzero(good):
+                own = sums.setdefault((place[of[k]], int(lengths[k])), np.zeros((2, STEPS), np.int64))
+                own[0, min(int(chars[k] * STEPS), STEPS - 1)] += 1
+                own[1, min(int(words[k] * STEPS), STEPS - 1)] += 1
+        for (lang, length), own in sums.items():
+            at = np.flatnonzero(own.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.int32()), pa.array([length] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(own.ravel()[at])], names=["lang", "length", "at", "n"])
+
+    if not langs:
+        return Limits({}, {})
+    groups: dict = {}
+    for r in docs.select(text_col).mapInArrow(count, "lang int, length int, at int, n long").groupBy("lang", "length", "at").agg(F.sum("n").alias("n")).collect():
+        for key in ((langs[r["lang"]], r["length"]), langs[r["lang"]], None):
+            groups.setdefault(key, np.zeros(2 * STEPS))[r["at"]] += r["n"]
+    large = {key: own.reshape(2, STEPS) for key, own in groups.items() if key is None or own.sum() >= 2 * LEAST_GROUP}
+    return Limits(*({key: limit(own[k]) for key, own in large.items()} for k in range(2)))
+
+
+def judge(docs: DataFrame, known: References, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the base counts, base_failed, both distances and kept of every row; without ``limits``, those of the spread of ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast((known, spread(docs, known, text_col) if limits is None else limits))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, 1):
             seen = measure(texts)
             failed = base_failed(seen.base)
-            chars, words = sent.value.nearest(seen)
-            far = (chars > char_limit) & (seen.base["word_chars"] >= LEAST_CHARS) | (words > word_limit) & (seen.base["n_words"] >= LEAST_WORDS)
+            nearest, own = sent.value
+            chars, words, langs = nearest.nearest(seen)
+            char_limits, word_limits = own.of(langs, length_class(seen.base["n_words"]))
+            far = (chars > char_limits) & (seen.base["word_chars"] >= LEAST_CHARS) | (words > word_limits) & (seen.base["n_words"] >= LEAST_WORDS)
             columns = [batch.column(0), *(pa.array(seen.base[x]) for x in names), pa.array(failed), pa.array(chars), pa.array(words), pa.array(~failed & ~far)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, "base_failed", "char_distance", "word_distance", "kept"])
 
