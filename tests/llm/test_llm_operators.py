@@ -79,6 +79,21 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert found == brute_components(texts)
 
 
+@pytest.mark.parametrize("block", [1 << 11, 7])
+def test_jaccard_counts_all_links(spark, monkeypatch, block):
+    """Every link counts, not only those that a forest needs; also in blocks, with repeated rows and null ids."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    texts = near_family(8)
+    sets = [shingles(t) for t in texts]
+    like = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    expected = {k: sum(like(own, other) for other in sets) - bool(own) for k, own in enumerate(sets)}
+    docs = frame(spark, texts)
+    more = docs.where("doc_id % 4 = 0").unionByName(docs.where("doc_id % 5 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = jaccard.similar(docs.unionByName(more)).where("doc_id IS NOT NULL").collect()
+    assert len(rows) == len(texts) + len(texts[::4]) and max(expected.values()) > 20
+    assert all(r["n_links"] == expected[r["doc_id"]] for r in rows)
+
+
 def test_prefix_tree_forest():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**60, 80, dtype=np.uint64)

@@ -11,12 +11,14 @@ A document's set holds 64-bit hashes of its distinct word n-grams. Sets join in
    document that has them, which takes as many edges as postings.
 4. Prefix trees. The sets of a candidate component are stored in a prefix tree in that component's global order, rarest first, as a sorted list with common
    prefix lengths. All queries walk the tree together: the overlap up to a node is counted once for all sets below it, and a query leaves a subtree as soon as the overlap and what remains
-   of it or of the subtree cannot reach the bound, or when the subtree is already linked to it. Large components are split into blocks, of which every two meet in a task of their own.
-5. The links found, a spanning forest of each task's links, give the components.
+   of it or of the subtree cannot reach the bound. Every link between different sets is found, once, and counted for both, with the documents that have the other set as its weight; links are not
+   sent one by one. Large components are split into blocks, of which every two meet in a task of their own.
+5. Of each task's links a spanning forest gives the components; the counts of all tasks add up to the links of a set.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a text with fewer words than an n-gram has the one
 n-gram of all its words. Rows that share an id are one document with the links of all of them; a row with a null id has no component. Equal hashes of different n-grams are not told apart
-(64 bits, within two texts), nor are sets with equal 128-bit digests.
+(64 bits, within two texts), nor are sets with equal 128-bit digests. A row's links are the other pairs of an id and a set that are similar to its own: with ids that stand once, documents. A row with a null id
+has none and counts for none.
 """
 
 from __future__ import annotations
@@ -136,7 +138,7 @@ def _suspects(width: int, share: tuple[int, int]):
         order = np.argsort(known)
         known, totals = known[order], totals[order].astype(np.int64)
         top = np.uint64(int(COUNTED * 2**64))
-        out = {"doc_id": ids, "n": [len(s) for s in sets], "digest": [], "grams": [], "prefix": []}
+        out = {"doc_id": ids, "n": [len(s) for s in sets], "digest": [], "first": [], "grams": [], "prefix": []}
         carrier: dict[bytes, int] = {}
         prefixes: list[np.ndarray | None] = []
         for own in sets:
@@ -154,18 +156,22 @@ def _suspects(width: int, share: tuple[int, int]):
                 prefixes.append(own[first][~alone[first]])
             else:
                 prefixes.append(None)
+        met: set[tuple] = set()  # all rows of an id are in one block
         for k, own in enumerate(sets):
             if prefixes[k] is None:
                 out["digest"].append(None)
+                out["first"].append(None)
                 continue
             digest = _digest(own)
             out["digest"].append(digest)
+            out["first"].append((ids[k], digest) not in met)
+            met.add((ids[k], digest))
             if ids[k] is not None and (digest not in carrier or ids[k] < ids[carrier[digest]]):
                 carrier[digest] = k
         carriers = set(carrier.values())
         out["grams"] = [sets[k].astype("<u8").tobytes() if k in carriers else None for k in range(len(sets))]
         out["prefix"] = [prefixes[k].view(np.int64) if k in carriers else None for k in range(len(sets))]
-        kinds = {"doc_id": left.schema.field("doc_id").type, "n": pa.int64(), "digest": pa.binary(), "grams": pa.binary(), "prefix": pa.list_(pa.int64())}
+        kinds = {"doc_id": left.schema.field("doc_id").type, "n": pa.int64(), "digest": pa.binary(), "first": pa.bool_(), "grams": pa.binary(), "prefix": pa.list_(pa.int64())}
         return pa.table({name: pa.array(out[name], kind) for name, kind in kinds.items()})
 
     return run
@@ -186,10 +192,14 @@ class PrefixTree:
         self.lengths = np.array([len(s) for s in self.sets], np.int64)
 
 
-def linked(query_sets: list[np.ndarray], query_sizes: np.ndarray, tree: PrefixTree, tree_sizes: np.ndarray, vocabulary: int, share: tuple[int, int], labels: np.ndarray, query_at: np.ndarray, tree_at: np.ndarray, step: int = 128) -> list[tuple[int, int]]:
-    """Links between queries and the tree's sets that join two of ``labels``, which they change.
+def linked(
+    query_sets: list[np.ndarray], query_sizes: np.ndarray, tree: PrefixTree, tree_sizes: np.ndarray, vocabulary: int, share: tuple[int, int],
+    labels: np.ndarray, query_at: np.ndarray, tree_at: np.ndarray, weights: np.ndarray, counts: np.ndarray, later: bool, step: int = 128,
+) -> list[tuple[int, int]]:
+    """Find all links between queries and the tree's sets; return those that join two of ``labels``, which they change.
 
-    ``query_at`` and ``tree_at`` are the places of the sets in ``labels``; sizes are those of the whole sets.
+    Each link adds the weight of either end to the ``counts`` of the other. ``query_at`` and ``tree_at`` are the places of the sets in ``labels``, ``weights`` and ``counts``; sizes are those of the
+    whole sets. With ``later`` the queries are sets of the tree, and each meets only those behind it.
     """
     top, below = share
     found: list[tuple[int, int]] = []
@@ -201,15 +211,19 @@ def linked(query_sets: list[np.ndarray], query_sizes: np.ndarray, tree: PrefixTr
     flat = np.concatenate([own + k * np.int64(vocabulary) for k, own in enumerate(query_sets)]) if len(query_sets) else np.zeros(0, np.int64)
     lengths = np.diff(starts)
     every = np.arange(len(query_sets))
+    behind = np.full(len(every), -1)
+    if later:
+        row = np.zeros(len(labels), np.int64)
+        row[places] = np.arange(len(places))
+        behind = row[query_at]
     stack = [(0, len(tree.sets), 0, every, np.zeros(len(every), np.int64))]
     while stack:
         low, high, depth, active, overlap = stack.pop()
         end = int(tree.common[low : high - 1].min()) if high - low > 1 else int(tree.lengths[low])
         least, rest_end = sizes[low:high].min(), int(tree.lengths[low:high].max())
-        below_labels = labels[places[low:high]]
-        if (below_labels == below_labels[0]).all():
-            apart = labels[query_at[active]] != below_labels[0]
-            active, overlap = active[apart], overlap[apart]
+        if later:
+            ahead = behind[active] < high - 1
+            active, overlap = active[ahead], overlap[ahead]
         need = -(-top * (query_sizes[active] + least) // (top + below))
         own = tree.sets[low]
         while depth < end and len(active):
@@ -224,11 +238,14 @@ def linked(query_sets: list[np.ndarray], query_sizes: np.ndarray, tree: PrefixTr
         at = low
         while at < high and tree.lengths[at] == end:  # sets that end here
             union = query_sizes[active] + sizes[at] - overlap
-            for q in active[(below * overlap >= top * union) & (overlap > 0)]:
-                a, b = labels[query_at[q]], labels[places[at]]
-                if a != b:
-                    found.append((int(query_at[q]), int(places[at])))
-                    labels[labels == b] = a
+            hits, place = query_at[active[(below * overlap >= top * union) & (overlap > 0) & (behind[active] < at)]], places[at]
+            counts[hits] += weights[place]
+            counts[place] += weights[hits].sum()
+            apart = hits[labels[hits] != labels[place]]
+            while len(apart):
+                found.append((int(apart[0]), int(place)))
+                labels[labels == labels[place]] = labels[apart[0]]
+                apart = apart[labels[apart] != labels[place]]
             at += 1
         if at < high:
             cuts = [at, *(at + 1 + np.flatnonzero(tree.common[at : high - 1] == end)).tolist(), high]
@@ -238,10 +255,15 @@ def linked(query_sets: list[np.ndarray], query_sizes: np.ndarray, tree: PrefixTr
 
 def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, share: tuple[int, int]) -> list[tuple[int, int]]:
     """A spanning forest of the links of ``left`` with ``right``, or within ``left``; right sets are numbered after the left ones."""
+    return join_counts(left, right, share, np.ones(len(left) + len(right or []), np.int64))[0]
+
+
+def join_counts(left: list[np.ndarray], right: list[np.ndarray] | None, share: tuple[int, int], weights: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """That forest, and for each set the summed weights of all sets it links with."""
     every = left + (right or [])
-    sizes = np.array([len(s) for s in every], np.int64)
+    sizes, counts = np.array([len(s) for s in every], np.int64), np.zeros(len(every), np.int64)
     if len(every) < 2:
-        return []
+        return [], counts
     grams, inverse, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     order = np.lexsort((grams, count))
     rank = np.full(len(grams), -1, np.int64)
@@ -260,8 +282,8 @@ def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, share: tup
     found, chunk = [], max(1, (1 << 25) // vocabulary)
     for b in range(0, len(queries), chunk):
         part = queries[b : b + chunk]
-        found += linked([ranked[k] for k in part], sizes[part], tree, sizes[held], vocabulary, share, labels, part, held)
-    return found
+        found += linked([ranked[k] for k in part], sizes[part], tree, sizes[held], vocabulary, share, labels, part, held, weights, counts, right is None)
+    return found, counts
 
 
 def _walk(share: tuple[int, int]):
@@ -269,11 +291,13 @@ def _walk(share: tuple[int, int]):
         i, j = key[1].as_py(), key[2].as_py()
         ids, parts, comps = (table.column(c).to_pylist() for c in ("v", "part", "comp"))
         sets = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
+        weights = table.column("w").to_numpy()
         pairs: list[tuple] = []
+        sums = np.zeros(len(ids), np.int64)
         if i >= 0:
             left, right = [k for k, p in enumerate(parts) if p == i], [k for k, p in enumerate(parts) if p == j]
-            found = join_sets([sets[k] for k in left], None if i == j else [sets[k] for k in right], share)
             both = left if i == j else left + right
+            found, sums[both] = join_counts([sets[k] for k in left], None if i == j else [sets[k] for k in right], share, weights[both])
             pairs = [(ids[both[a]], ids[both[b]]) for a, b in found]
         else:
             order = sorted(range(len(ids)), key=comps.__getitem__)
@@ -281,15 +305,20 @@ def _walk(share: tuple[int, int]):
             for k in range(1, len(order) + 1):
                 if k == len(order) or comps[order[k]] != comps[order[start]]:
                     own = order[start:k]
-                    pairs += [(ids[own[a]], ids[own[b]]) for a, b in join_sets([sets[x] for x in own], None, share)]
+                    found, sums[own] = join_counts([sets[x] for x in own], None, share, weights[own])
+                    pairs += [(ids[own[a]], ids[own[b]]) for a, b in found]
                     start = k
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+        some = np.flatnonzero(sums)
+        return pa.table({
+            "a": pa.array([*(a for a, _ in pairs), *(ids[k] for k in some)], pa.int64()), "b": pa.array([*(b for _, b in pairs), *[None] * len(some)], pa.int64()),
+            "n": pa.array([*[None] * len(pairs), *sums[some].tolist()], pa.int64()),
+        })
 
     return run
 
 
 def similar(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; two documents link when their sets' Jaccard similarity is at least the share."""
+    """doc_id, n_shingles, component_id and n_links of every row; two documents link when their sets' Jaccard similarity is at least the share."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -297,12 +326,12 @@ def similar(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
 
     counted = rows.groupBy("block").applyInArrow(_count_block(width, parts), "bucket int, block int, grams binary, counts binary")
     answers = counted.groupBy("bucket").applyInArrow(_answer, "block int, grams binary, counts binary")
-    seen = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_suspects(width, share), "doc_id long, n long, digest binary, grams binary, prefix array<long>")
+    seen = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_suspects(width, share), "doc_id long, n long, digest binary, first boolean, grams binary, prefix array<long>")
     seen = cut(seen, "sets")
 
-    members = seen.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "digest")
-    classes = members.groupBy("digest").agg(F.min("doc_id").alias("v"))
-    held = seen.where(F.col("grams").isNotNull()).join(classes, "digest").where("doc_id = v").select("v", "n", "grams", "prefix")
+    members = seen.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "digest", "first")
+    classes = members.groupBy("digest").agg(F.min("doc_id").alias("v"), F.count_if("first").alias("w"))
+    held = seen.where(F.col("grams").isNotNull()).join(classes, "digest").where("doc_id = v").select("v", "w", "n", "grams", "prefix")
 
     postings = cut(held.select("v", F.explode("prefix").alias("gram")), "postings")
     heads = postings.groupBy("gram").agg(F.min("v").alias("head"), F.max("v").alias("tail")).where("head <> tail").select("gram", "head")
@@ -318,16 +347,17 @@ def similar(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
     small = F.col("blocks") == 1
     tasks = tasks.select(
         F.when(small, F.pmod(F.xxhash64("comp"), F.lit(4 * parts))).otherwise(F.col("comp")).alias("k"),
-        F.when(small, -1).otherwise(F.least("part", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("part", "other")).alias("j"), "comp", "part", "v", "grams",
+        F.when(small, -1).otherwise(F.least("part", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("part", "other")).alias("j"), "comp", "part", "v", "w", "grams",
     )
-    links = tasks.groupBy("k", "i", "j").applyInArrow(_walk(share), "a long, b long")
-    found = components(links)
+    links = cut(tasks.groupBy("k", "i", "j").applyInArrow(_walk(share), "a long, b long, n long"), "links")
+    found = components(links.where("b IS NOT NULL").select("a", "b"))
     least = found.groupBy("label").agg(F.min("v").alias("component_id"))
-    final = found.join(least, "label").select("v", "component_id")
+    counts = links.where("b IS NULL").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("others"))
+    final = found.join(least, "label").select("v", "component_id").join(counts, "v", "left")
 
-    alone = seen.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = seen.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.expr("IF(doc_id IS NULL, NULL, 0L)").alias("n_links"))
     grouped = seen.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "n", "digest").join(classes, "digest").join(final, "v", "left")
-    return alone.unionByName(grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "v").alias("component_id")))
+    return alone.unionByName(grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "v").alias("component_id"), (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
@@ -347,3 +377,5 @@ reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(reach.y), d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id
 """
+#: The same with the number of links.
+LINKS_ORACLE = ORACLE.replace("SELECT d.doc_id, ", "SELECT d.doc_id, (SELECT count(*) FROM links WHERE links.x = d.doc_id) AS n_links, ")

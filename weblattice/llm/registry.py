@@ -26,6 +26,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_jaccard_links(spark, sf_dir).drop("n_links")
+
+
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(read_table(spark, sf_dir, "documents"))
 
 
@@ -67,8 +71,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_jaccard_join, op3_bpe, op4_fingerprints, op5_license_scan, op6_language_id, op7_mixing, op8_quality, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filters, op2_jaccard_join, op2_jaccard_links, op3_bpe, op4_fingerprints, op5_license_scan, op6_language_id, op7_mixing, op8_quality, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.ORACLE, "op2_jaccard_join": jaccard.ORACLE, "op7_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_url_filters": url_filter.ORACLE, "op2_jaccard_join": jaccard.ORACLE, "op2_jaccard_links": jaccard.LINKS_ORACLE, "op7_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
