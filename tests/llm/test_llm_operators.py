@@ -239,6 +239,20 @@ def test_licence_scan(spark):
     assert found[6]["licenses"] == ["CC-BY-NC-4.0"] and len(found[6]["spans"]) == 2 and found[7]["licenses"] == []
 
 
+def test_licences_of_whole_texts():
+    """The longer sequence wins, and the common licences are known."""
+    scanner = licenses.Scanner()
+    said = lambda *names: "\n".join(f"{k + 1}. {licenses.SENTENCES[x]}." if x.startswith("bsd-") and k else licenses.SENTENCES[x] + "." for k, x in enumerate(names))
+    names = lambda text: [x[0] for x in scanner.scan(text)[0]]
+    bsd = ("bsd-grant", "bsd-source", "bsd-binary")
+    assert names(said(*bsd)) == ["BSD-2-Clause"] and names(said(*bsd, "bsd-endorse")) == ["BSD-3-Clause"] and scanner.scan(said(*bsd, "bsd-endorse"))[2] == 0
+    assert names(said("gpl2-redistribute", "gpl-no-warranty")) == ["GPL-2.0-or-later"] and names(said("gpl-redistribute", "gpl-no-warranty")) == ["GPL-3.0-or-later"]
+    assert names(said("lgpl21-redistribute", "lgpl-no-warranty")) == ["LGPL-2.1-or-later"] and names(said("agpl3-redistribute", "gpl-no-warranty")) == ["AGPL-3.0-or-later"]
+    assert names("This is free and unencumbered software released into the public domain.") == ["Unlicense"] and names("CC0 1.0 Universal") == ["CC0-1.0"]
+    assert names("// SPDX-License-Identifier: GPL-2.0-or-later\nint main;") == ["GPL-2.0-or-later"] and names("# SPDX-License-Identifier: EPL-2.0") == ["EPL-2.0"]
+    assert names(said("zlib-grant")) == ["Zlib"] and names(said("bsl-grant")) == ["BSL-1.0"] and names(said("epl2-line")) == ["EPL-2.0"]
+
+
 def test_licence_lines_of_documents(spark, sf_dir):
     """Every document with one of the licence lines is found, and no other."""
     lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}

@@ -39,9 +39,29 @@ SENTENCES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-organization": "Neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "gpl2-redistribute": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "lgpl21-redistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-redistribute": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-no-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "agpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "epl2-line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "epl1-line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "cc0-line": "CC0 1.0 Universal",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "mpl2-line": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+#: Licences whose SPDX line is known.
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "Unlicense", "CC0-1.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Zlib", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+SENTENCES |= {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
 #: Licences as ordered sentence identifiers.
 RULES = [
     ("MIT", ["mit-released"]), ("MIT", ["mit-licensed"]), ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]), ("MIT", ["mit-grant", "mit-notice"]),
@@ -49,9 +69,15 @@ RULES = [
     ("GPL-3.0-only", ["gpl3-work"]), ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-no-warranty"]), ("GPL-3.0-or-later", ["gpl-redistribute"]),
     ("CC-BY-NC-4.0", ["cc-by-nc4-line"]), ("CC-BY-4.0", ["cc-by4-line"]), ("CC-BY-SA-4.0", ["cc-by-sa4-line"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]), ("ISC", ["isc-grant"]), ("MPL-2.0", ["mpl2-line"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]), ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-organization"]),
+    ("GPL-2.0-or-later", ["gpl2-redistribute"]), ("GPL-2.0-or-later", ["gpl2-redistribute", "gpl-no-warranty"]), ("GPL-2.0-only", ["gpl2-only"]), ("GPL-2.0-only", ["gpl2-only", "gpl-no-warranty"]),
+    ("LGPL-2.1-or-later", ["lgpl21-redistribute"]), ("LGPL-2.1-or-later", ["lgpl21-redistribute", "lgpl-no-warranty"]), ("LGPL-3.0-or-later", ["lgpl3-redistribute"]),
+    ("LGPL-3.0-or-later", ["lgpl3-redistribute", "lgpl-no-warranty"]), ("AGPL-3.0-or-later", ["agpl3-redistribute"]), ("AGPL-3.0-or-later", ["agpl3-redistribute", "gpl-no-warranty"]),
+    ("Unlicense", ["unlicense-domain"]), ("BSL-1.0", ["bsl-grant"]), ("Zlib", ["zlib-grant"]), ("EPL-2.0", ["epl2-line"]), ("EPL-1.0", ["epl1-line"]), ("CC0-1.0", ["cc0-line"]),
+    *((name, [f"spdx-{name}"]) for name in SPDX),
 ]
 #: Each known sentence contains one of these, in lower case.
-TRIGGERS = ("licen", "permission", "copyright", "redistribut", "warrant")
+TRIGGERS = ("licen", "permission", "copyright", "redistribut", "warrant", "public domain", "cc0")
 
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 _END = re.compile(r"[.!?;:]+(?=\s|$)|\n")
