@@ -123,6 +123,11 @@ def test_jaccard_odd_tables(spark):
     assert sorted(str(r["doc_id"]) for r in jaccard.keep_first(rows.where("doc_id IS NULL OR doc_id = 7 OR n = 'x'")).collect()) == ["1", "None"]
 
 
+def test_keep_first_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (7, "a b c d e f"), (8, "other words"), (8, "other words"), (9, None), (9, None), (10, "alone")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.keep_first(rows).collect()) == [1, 8, 9, 10]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (200, 200)] + [(300, 300 + k) for k in range(1, 30)]
     found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()

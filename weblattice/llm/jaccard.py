@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblattice.llm.arrow import ASCII_LOWER, BLANK, mix64, run_hashes, runs, utf8
@@ -361,9 +361,14 @@ def similar(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component."""
-    gone = similar(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    """One row of each component: of its smallest id, and of several rows of that id the one whose text sorts first. Rows with a null id have no component and all stay."""
+    ids = similar(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("rows"))
+    marks = cut(ids.where("_id IS NOT NULL AND (gone OR rows > 1)"), "marks")
+    again = cut(marks.where("NOT gone").select("_id"), "again")  # small where ids stand once
+    single = docs.join(marks, docs[options.get("id_col", "doc_id")] == F.col("_id"), "left_anti")
+    order = Window.partitionBy("_id").orderBy(F.col(options.get("text_col", "text")).asc_nulls_last())
+    first = docs.join(again, docs[options.get("id_col", "doc_id")] == F.col("_id")).withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return single.unionByName(first.select(*docs.columns))
 
 
 ORACLE = r"""
