@@ -359,6 +359,15 @@ def test_quality_rejects_bad_documents(spark, sf_dir):
     assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.99 * len(good)
 
 
+def test_no_language_is_left_out(spark):
+    """References know every language; a model that cannot hold all says so."""
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, text, f"l{k}" if k else None) for k in range(301)], "doc_id long, text string, lang string")
+    assert len(quality.references(docs).chars) == 300
+    with pytest.raises(ValueError):
+        language_id.train(docs)
+
+
 def test_quality_limits():
     steps = np.zeros(1000)
     steps[100:110], steps[300:310] = 95, 5  # two kinds, apart

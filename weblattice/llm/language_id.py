@@ -62,9 +62,11 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, per_language: int = 1000, most_languages: int = 256, sizes: tuple[int, ...] = (1, 2, 3), bits: int = 15) -> LanguageModel:
-    """Learn from ``docs`` (doc_id, text, lang); rows with a null text or lang teach nothing."""
+    """Learn from ``docs`` (doc_id, text, lang); rows with a null text or lang teach nothing. More than ``most_languages`` languages are an error."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn; raise most_languages")
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), sizes, bits)

@@ -187,9 +187,8 @@ class References:
         return chars[best, np.arange(n)], words[best, np.arange(n)], np.array(list(self.chars), object)[best]
 
 
-def references(docs: DataFrame, most_languages: int = 256) -> References:
-    """Histograms of all documents that pass the base rules, by the ``most_languages`` languages with most documents."""
-    langs = {r["lang"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+def references(docs: DataFrame) -> References:
+    """Histograms of all documents with a language that pass the base rules, by language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[np.ndarray]] = {}
@@ -197,7 +196,7 @@ def references(docs: DataFrame, most_languages: int = 256) -> References:
             seen = measure(texts)
             good = ~base_failed(seen.base)
             of = np.array(batch.column(1).to_pylist(), object)
-            for lang in set(of[good]) & langs:
+            for lang in set(of[good]) - {None}:
                 mine = good & (of == lang)
                 add = [seen.chars[mine].sum(axis=0), seen.words[mine].sum(axis=0)]
                 sums[lang] = [x + y for x, y in zip(sums[lang], add, strict=True)] if lang in sums else add
