@@ -2,23 +2,33 @@
 
 A document's set holds 64-bit hashes of its distinct word n-grams. Sets join in five steps, none of which collects pairs:
 
-1. Counts. Documents are dealt into blocks. Each block sends every distinct n-gram of a fixed part of the hash range once to
-   the bucket of that n-gram, with its number of documents; the bucket answers each block with its n-grams that others share, and their total. A frequent n-gram is thus one
-   row for each block, not one for each document.
-2. Suspects. The global order of n-grams is by that count, then by hash, uncounted ones last. A set with a partner has to share
-   an n-gram within its prefix of |x| - ceil(t|x|) + 1 n-grams, so a document whose prefix consists of n-grams that nothing else has is done. All others keep their sets.
-3. Candidates. Equal sets become one. Sets that share an n-gram within their prefixes fall into one candidate component; n-grams link them to the least
-   document that has them, which takes as many edges as postings.
-4. Prefix trees. The sets of a candidate component are stored in a prefix tree in that component's global order, rarest first, as a sorted list with common
-   prefix lengths. All queries walk the tree together: the overlap up to a node is counted once for all sets below it, and a query leaves a subtree as soon as the overlap and what remains
-   of it or of the subtree cannot reach the bound. Every link between different sets is found, once, and counted for both, with the documents that have the other set as its weight; links are not
-   sent one by one. Large components are split into blocks, of which every two meet in a task of their own.
+1. Counts. Documents are dealt into blocks of a bounded number of bytes. Each block sends every distinct n-gram of a
+   fixed part of the hash range once to the bucket of that n-gram, with its number of documents; the bucket answers
+   each block with its n-grams that others share, and their total. A frequent n-gram is thus one row for each block,
+   not one for each document.
+2. Suspects. The global order of n-grams is by that count, then by hash, uncounted ones last. A set with a partner has
+   to share an n-gram within its prefix of |x| - ceil(t|x|) + 1 n-grams, so a document whose prefix consists of n-grams
+   that nothing else has is done. All others keep their sets.
+3. Candidates. Equal sets become one class, which has the least id of its rows. Sets that share an n-gram within their
+   prefixes fall into one candidate component; n-grams link them to the least id that has them, which takes as many
+   edges as postings.
+4. Prefix trees. The sets of a candidate component are stored in a prefix tree in that component's global order, rarest
+   first, as a sorted list with common prefix lengths. All queries walk the tree together: the overlap up to a node is
+   counted once for all sets below it, and a query leaves a subtree as soon as the overlap and what remains of it or of
+   the subtree cannot reach the bound. Every link between different sets is found, once, and counted for both, with the
+   documents that have the other set as its weight; links are not sent one by one. Large components are split into
+   blocks, of which every two meet in a task of their own.
 5. Of each task's links a spanning forest gives the components; the counts of all tasks add up to the links of a set.
 
-Defined cases: null texts and texts without words have an empty set and link with nothing; a text with fewer words than an n-gram has the one
-n-gram of all its words. Rows that share an id are one document with the links of all of them; a row with a null id has no component. Equal hashes of different n-grams are not told apart
-(64 bits, within two texts), nor are sets with equal 128-bit digests. A row's links are the other pairs of an id and a set that are similar to its own: with ids that stand once, documents. A row with a null id
-has none and counts for none.
+The join that gives rows their class is skewed where very many rows have one set. Classes with more rows than a part in
+4 times the number of partitions, of which there are at most as many as that, are therefore broadcast, all others joined by a shuffle.
+
+Defined cases: null texts and texts without words have an empty set and link with nothing; a text with fewer words than
+an n-gram has the one n-gram of all its words. Rows that share an id are one document: they have one component, to which
+all their sets belong. ``n_links`` of a row counts the other pairs of an id and a set that are similar to the row's own
+set; where ids stand once, documents. Repeated rows stay repeated and count once. A row with a null id has no component
+and no links, and counts for none. Equal hashes of different n-grams are not told apart (64 bits, within two texts),
+nor are sets with equal 128-bit digests. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +46,8 @@ from weblattice.sources.scratch import cut, drop
 COUNTED = 0.35
 #: The most n-grams and sets in a block of a large component.
 BLOCK_TOKENS, BLOCK_SETS = 1 << 20, 1 << 11
+#: About the most bytes of text in a block of documents; a longer text is a block of its own at least.
+BLOCK_BYTES = 1 << 26
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -138,10 +150,10 @@ def _suspects(width: int, share: tuple[int, int]):
         order = np.argsort(known)
         known, totals = known[order], totals[order].astype(np.int64)
         top = np.uint64(int(COUNTED * 2**64))
-        out = {"doc_id": ids, "n": [len(s) for s in sets], "digest": [], "first": [], "grams": [], "prefix": []}
         carrier: dict[bytes, int] = {}
-        prefixes: list[np.ndarray | None] = []
-        for own in sets:
+        prefixes: dict[int, np.ndarray] = {}
+        digests: list[bytes | None] = [None] * len(sets)
+        for k, own in enumerate(sets):
             cut_at = int(np.searchsorted(own, top))
             count = np.full(len(own), 1 << 40, np.int64)
             if cut_at and len(known):
@@ -151,28 +163,19 @@ def _suspects(width: int, share: tuple[int, int]):
                 count[:cut_at] = 1
             size = prefix_size(len(own), share)
             alone = count == 1
-            if len(own) and int(alone.sum()) < size:
-                first = np.argsort(count, kind="stable")[:size]  # hashes are in order already
-                prefixes.append(own[first][~alone[first]])
-            else:
-                prefixes.append(None)
-        met: set[tuple] = set()  # all rows of an id are in one block
-        for k, own in enumerate(sets):
-            if prefixes[k] is None:
-                out["digest"].append(None)
-                out["first"].append(None)
+            if not len(own) or int(alone.sum()) >= size:
                 continue
-            digest = _digest(own)
-            out["digest"].append(digest)
-            out["first"].append((ids[k], digest) not in met)
-            met.add((ids[k], digest))
+            first = np.argsort(count, kind="stable")[:size]  # hashes are in order already
+            prefixes[k] = own[first][~alone[first]]
+            digest = digests[k] = _digest(own)
             if ids[k] is not None and (digest not in carrier or ids[k] < ids[carrier[digest]]):
                 carrier[digest] = k
-        carriers = set(carrier.values())
-        out["grams"] = [sets[k].astype("<u8").tobytes() if k in carriers else None for k in range(len(sets))]
-        out["prefix"] = [prefixes[k].view(np.int64) if k in carriers else None for k in range(len(sets))]
-        kinds = {"doc_id": left.schema.field("doc_id").type, "n": pa.int64(), "digest": pa.binary(), "first": pa.bool_(), "grams": pa.binary(), "prefix": pa.list_(pa.int64())}
-        return pa.table({name: pa.array(out[name], kind) for name, kind in kinds.items()})
+        held = set(carrier.values())
+        return pa.table({
+            "doc_id": pa.array(ids, left.schema.field("doc_id").type), "block": left.column("block").combine_chunks().cast(pa.int32()), "n": pa.array(map(len, sets), pa.int64()), "digest": pa.array(digests, pa.binary()),
+            "grams": pa.array([sets[k].astype("<u8").tobytes() if k in held else None for k in range(len(sets))], pa.binary()),
+            "prefix": pa.array([prefixes[k].view(np.int64) if k in held else None for k in range(len(sets))], pa.list_(pa.int64())),
+        })
 
     return run
 
@@ -204,14 +207,16 @@ def linked(
     top, below = share
     found: list[tuple[int, int]] = []
     sizes, places = tree_sizes[tree.order], tree_at[tree.order]
-    has = np.zeros((len(query_sets), vocabulary), bool)
+    n = len(query_sets)
+    has = np.zeros((vocabulary, n), np.uint8)  # an n-gram's queries lie side by side
     for k, own in enumerate(query_sets):
-        has[k, own] = True
-    starts = np.cumsum([0, *map(len, query_sets)])
-    flat = np.concatenate([own + k * np.int64(vocabulary) for k, own in enumerate(query_sets)]) if len(query_sets) else np.zeros(0, np.int64)
-    lengths = np.diff(starts)
-    every = np.arange(len(query_sets))
-    behind = np.full(len(every), -1)
+        has[own, k] = 1
+    # n-grams of each query before every 64th rank
+    before = np.zeros((vocabulary // 64 + 2, n), np.int32)
+    np.cumsum(np.add.reduceat(has, np.arange(0, vocabulary, 64), axis=0, dtype=np.int32), axis=0, out=before[1 : -(-vocabulary // 64) + 1])
+    lengths = np.array([len(own) for own in query_sets], np.int64)
+    every = np.arange(n)
+    behind = np.full(n, -1)
     if later:
         row = np.zeros(len(labels), np.int64)
         row[places] = np.arange(len(places))
@@ -228,9 +233,11 @@ def linked(
         own = tree.sets[low]
         while depth < end and len(active):
             more = own[depth : min(end, depth + step)]
-            overlap = overlap + has[np.ix_(active, more)].sum(axis=1)
+            # at most 255 n-grams a step, so that bytes can hold the sums
+            some = has[more].sum(axis=0, dtype=np.uint8)[active] if 8 * len(active) >= n else has[np.ix_(more, active)].sum(axis=0, dtype=np.uint8)
+            overlap = overlap + some
             depth += len(more)
-            used = np.searchsorted(flat, active * np.int64(vocabulary) + int(more[-1]), side="right") - starts[active]
+            used = before[int(more[-1]) // 64, active]  # or a few more
             hope = overlap + np.minimum(lengths[active] - used, rest_end - depth) >= need
             active, overlap, need = active[hope], overlap[hope], need[hope]
         if not len(active):
@@ -289,7 +296,7 @@ def join_counts(left: list[np.ndarray], right: list[np.ndarray] | None, share: t
 def _walk(share: tuple[int, int]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        ids, parts, comps = (table.column(c).to_pylist() for c in ("v", "part", "comp"))
+        ids, parts, comps, digests = (table.column(c).to_pylist() for c in ("v", "part", "comp", "digest"))
         sets = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
         weights = table.column("w").to_numpy()
         pairs: list[tuple] = []
@@ -308,10 +315,10 @@ def _walk(share: tuple[int, int]):
                     found, sums[own] = join_counts([sets[x] for x in own], None, share, weights[own])
                     pairs += [(ids[own[a]], ids[own[b]]) for a, b in found]
                     start = k
-        some = np.flatnonzero(sums)
+        some = np.flatnonzero(sums).tolist()
         return pa.table({
-            "a": pa.array([*(a for a, _ in pairs), *(ids[k] for k in some)], pa.int64()), "b": pa.array([*(b for _, b in pairs), *[None] * len(some)], pa.int64()),
-            "n": pa.array([*[None] * len(pairs), *sums[some].tolist()], pa.int64()),
+            "a": pa.array([*(a for a, _ in pairs), *[None] * len(some)], pa.int64()), "b": pa.array([*(b for _, b in pairs), *[None] * len(some)], pa.int64()),
+            "digest": pa.array([*[None] * len(pairs), *(digests[k] for k in some)], pa.binary()), "n": pa.array([*[None] * len(pairs), *sums[some].tolist()], pa.int64()),
         })
 
     return run
@@ -322,53 +329,80 @@ def similar(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    blocks = max(parts, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))  # rows of one id, or of none, do not meet
 
-    counted = rows.groupBy("block").applyInArrow(_count_block(width, parts), "bucket int, block int, grams binary, counts binary")
+    counted = rows.groupBy("block").applyInArrow(_count_block(width, blocks), "bucket int, block int, grams binary, counts binary")
     answers = counted.groupBy("bucket").applyInArrow(_answer, "block int, grams binary, counts binary")
-    seen = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_suspects(width, share), "doc_id long, n long, digest binary, first boolean, grams binary, prefix array<long>")
+    seen = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_suspects(width, share), "doc_id long, block int, n long, digest binary, grams binary, prefix array<long>")
     seen = cut(seen, "sets")
 
-    members = seen.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "digest", "first")
-    classes = members.groupBy("digest").agg(F.min("doc_id").alias("v"), F.count_if("first").alias("w"))
-    held = seen.where(F.col("grams").isNotNull()).join(classes, "digest").where("doc_id = v").select("v", "w", "n", "grams", "prefix")
+    grouped = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    members = seen.where(grouped).groupBy("doc_id", "digest").agg(F.min("block").alias("block"), F.count("*").alias("rows"))
+    first = F.min(F.struct("doc_id", "block"))
+    classes = members.groupBy("digest").agg(first.alias("first"), F.count("*").alias("w"), F.sum("rows").alias("rows")).select("digest", F.col("first.doc_id").alias("v"), F.col("first.block").alias("at"), "w", "rows")
+    held = seen.where(F.col("grams").isNotNull()).join(classes, "digest").where("doc_id = v AND block = at").select("digest", "v", "w", "n", "grams", "prefix")
 
     postings = cut(held.select("v", F.explode("prefix").alias("gram")), "postings")
     heads = postings.groupBy("gram").agg(F.min("v").alias("head"), F.max("v").alias("tail")).where("head <> tail").select("gram", "head")
     candidate = components(postings.join(heads, "gram").where("v <> head").select(F.col("v").alias("a"), F.col("head").alias("b")))
     drop(postings)
 
-    candidate = candidate.withColumnRenamed("label", "comp")
-    sets = held.join(candidate, "v")
-    per = held.select("v", "n").join(candidate, "v").groupBy("comp").agg(F.sum("n").alias("grams_in"), F.count("*").alias("sets_in"))
+    of = candidate.withColumnRenamed("label", "comp")
+    sets = held.join(of, "v")
+    per = held.select("v", "n").join(of, "v").groupBy("comp").agg(F.sum("n").alias("grams_in"), F.count("*").alias("sets_in"))
     split = F.greatest(F.ceil(F.col("grams_in") / BLOCK_TOKENS), F.ceil(F.col("sets_in") / BLOCK_SETS)).cast("int")
-    tasks = sets.join(per.select("comp", split.alias("blocks")), "comp").withColumn("part", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    tasks = sets.join(per.select("comp", split.alias("blocks")), "comp").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     small = F.col("blocks") == 1
     tasks = tasks.select(
-        F.when(small, F.pmod(F.xxhash64("comp"), F.lit(4 * parts))).otherwise(F.col("comp")).alias("k"),
-        F.when(small, -1).otherwise(F.least("part", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("part", "other")).alias("j"), "comp", "part", "v", "w", "grams",
+        F.when(small, F.pmod(F.xxhash64("comp"), F.lit(4 * blocks))).otherwise(F.col("comp")).alias("k"),
+        F.when(small, -1).otherwise(F.least("part", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("part", "other")).alias("j"), "comp", "part", "v", "w", "digest", "grams",
     )
-    links = cut(tasks.groupBy("k", "i", "j").applyInArrow(_walk(share), "a long, b long, n long"), "links")
-    found = components(links.where("b IS NOT NULL").select("a", "b"))
+    links = cut(tasks.groupBy("k", "i", "j").applyInArrow(_walk(share), "a long, b long, digest binary, n long"), "links")
+    drop(candidate)
+
+    # ids with several rows: all their sets are of one document
+    ids = seen.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count("digest").alias("sets"))
+    several = cut(ids.where("rows > 1 AND sets > 0").select("doc_id"), "several")
+    edges = links.where("b IS NOT NULL").select("a", "b")
+    repeated = not several.isEmpty()
+    if repeated:
+        own = members.join(several, "doc_id").join(classes.select("digest", "v"), "digest").where("doc_id <> v")
+        edges = edges.unionByName(own.select(F.col("doc_id").alias("a"), F.col("v").alias("b")))
+    found = components(edges)
     least = found.groupBy("label").agg(F.min("v").alias("component_id"))
-    counts = links.where("b IS NULL").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("others"))
-    final = found.join(least, "label").select("v", "component_id").join(counts, "v", "left")
-
-    alone = seen.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.expr("IF(doc_id IS NULL, NULL, 0L)").alias("n_links"))
-    grouped = seen.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "n", "digest").join(classes, "digest").join(final, "v", "left")
-    return alone.unionByName(grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "v").alias("component_id"), (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    counts = links.where("n IS NOT NULL").groupBy("digest").agg(F.sum("n").alias("others"))
+    final = found.join(least, "label").select("v", "component_id")
+    known = classes.join(final, "v", "left").join(counts, "digest", "left")
+    known = cut(known.select("digest", F.coalesce("component_id", "v").alias("component_id"), (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "rows"), "classes")
+    drop(links)
+
+    rest = seen.where(~grouped).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.expr("IF(doc_id IS NULL, NULL, 0L)").alias("n_links"))
+    if repeated:  # rows without a partner that share their id with one that has some
+        mine = final.join(several, F.col("v") == F.col("doc_id")).select(F.col("doc_id").alias("same"), F.col("component_id").alias("theirs"))
+        rest = rest.join(mine, F.col("doc_id") == F.col("same"), "left").withColumn("component_id", F.coalesce("theirs", "component_id")).drop("same", "theirs")
+    # at most 4 * parts classes can have so many rows
+    most = max(1, -(-seen.where(grouped).count() // (4 * parts)))
+    result = ("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    frequent, slim = known.where(F.col("rows") >= most), seen.where(grouped).select("doc_id", "n", "digest")
+    often = slim.join(F.broadcast(frequent), "digest").select(*result)
+    seldom = slim.join(F.broadcast(frequent.select("digest")), "digest", "left_anti").join(known.where(F.col("rows") < most), "digest").select(*result)
+    return rest.unionByName(often).unionByName(seldom)
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of each component: of its smallest id, and of several rows of that id the one whose text sorts first. Rows with a null id have no component and all stay."""
     ids = similar(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("rows"))
     marks = cut(ids.where("_id IS NOT NULL AND (gone OR rows > 1)"), "marks")
-    again = cut(marks.where("NOT gone").select("_id"), "again")  # small where ids stand once
-    single = docs.join(marks, docs[options.get("id_col", "doc_id")] == F.col("_id"), "left_anti")
-    order = Window.partitionBy("_id").orderBy(F.col(options.get("text_col", "text")).asc_nulls_last())
-    first = docs.join(again, docs[options.get("id_col", "doc_id")] == F.col("_id")).withColumn("_row", F.row_number().over(order)).where("_row = 1")
-    return single.unionByName(first.select(*docs.columns))
+    again = marks.where("NOT gone").select("_id")  # none where ids stand once
+    names = docs.columns
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    doc_id, text = (f"c{names.index(options.get(x, y))}" for x, y in (("id_col", "doc_id"), ("text_col", "text")))
+    single = rows.join(marks, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+    order = Window.partitionBy("_id").orderBy(F.col(text).asc_nulls_last())
+    first = rows.join(again, F.col(doc_id).cast("long") == F.col("_id")).withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return single.unionByName(first.select(*rows.columns)).toDF(*names)
 
 
 ORACLE = r"""
