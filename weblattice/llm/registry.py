@@ -67,6 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh(spark, "warc")
     written = cut(warc.write(read_table(spark, sf_dir, "pages"), folder), "warc-files")
+    warc.tidy(written, folder)
     return warc.index(warc.read_chunks(spark, written, folder))
 
 

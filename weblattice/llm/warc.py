@@ -1,15 +1,18 @@
-"""WARC archives as a chunked record table: written and read record by record, payload by payload in chunks.
+"""WARC archives as a chunked record table: written and read as rows of record identifier and chunk number.
 
 Writing has three steps. Payloads are read in chunks under a running SHA-1, which yields a digest row per page. Of each digest
-(and length) the smallest page id is found by a partial aggregate and joined back. Then each partition writes one
-archive of gzip members, one member per record, and feeds every payload to the compressor in chunks.
-Reading streams an archive through the decompressor and gives rows of record identifier, chunk number, bytes and the
-digest so far; the last chunk of a record has the whole payload's. No step holds more than one page and a few chunks beyond Arrow's batches.
+(and length) the smallest page id is found by a partial aggregate and joined back. Then every page is cut into chunk
+rows, which find the page's decision by id and digest, are sorted by record and chunk number, and are fed to the archive's
+compressor one by one: a gzip member per record, an archive per partition. Reading streams an archive through the decompressor
+and gives rows of record identifier, chunk number, bytes and the digest so far; the last chunk of a record has the whole
+payload's. Beyond the cell of the input table, no step holds more of a record than a few chunks.
 
-Archives lie in a folder that driver and executors share. A task writes under a name of its own and then renames, so that a repeated task does no harm.
+Archives lie in a folder that driver and executors share. Every task attempt writes to a name of its own, and only the names that the
+written table lists are archives; what failed attempts leave behind is deleted by ``tidy``. Nothing is renamed.
 
 Defined cases: a null payload is empty. Payloads of fewer than ``least`` bytes are always responses. A null page id sorts last; it is written as
-an empty id and read back as null. Rows with the digest's smallest page id are responses, also if several rows have that id. Other columns are not read.
+an empty id and read back as null. Rows with the digest's smallest page id are responses, also if several rows have that id. An empty table
+gives no archive. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -87,63 +90,103 @@ def record_id(page_id: object) -> str:
     return f"<{uuid.uuid5(RECORD_SPACE, f'page:{page_id}').urn}>"
 
 
-def _members(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, level: int) -> Iterator[bytes]:
-    """One record as a gzip member, in pieces."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def _head(page_id: object, url: str | None, size: int, digest: str, refers_to: object) -> bytes:
+    """The headers of one record, up to its payload."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     revisit = refers_to is not None
-    body = len(http) + (0 if revisit else len(payload))
     fields = {
         "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(page_id), "WARC-Date": DATE,
         "WARC-Target-URI": "".join(c for c in url or "" if c not in "\r\n"), "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": "" if page_id is None else page_id,
     }
     if revisit:
         fields |= {"WARC-Profile": REVISIT, "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-ID": refers_to}
-    fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": body}
-    head = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n"
-    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-    yield packer.compress(head + http)
-    if not revisit:
-        for _, part, _ in running(payload):
-            yield packer.compress(part)
-    yield packer.compress(b"\r\n\r\n") + packer.flush()
+    fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": len(http) + (0 if revisit else size)}
+    return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + http
+
+
+def payload_chunks(pages: DataFrame, size: int = CHUNK, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Chunk rows of every page: page_id, url (with the first chunk), payload_bytes, payload_digest, row_no (of the page), chunk_no, chunk and last."""
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "row_no", "chunk_no", "chunk", "last"]
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("binary").alias("payload"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # tells rows apart that are equal in all they have; all chunks of a page come from one attempt of one task
+        row_no = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            held, waiting = [], 0
+            ids = batch.column(0)
+            kinds = [ids.type, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            full = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)  # noqa: E731, B023
+            for k in range(batch.num_rows):
+                payload = batch.column(2)[k].as_buffer() or b""
+                digest = hashlib.sha1()
+                for _, _, digest in running(payload, size):
+                    pass
+                whole, row_no = base32(digest), row_no + 1
+                page_id, url = ids[k].as_py(), batch.column(1)[k].as_py()
+                view, chunks = memoryview(payload), max(1, -(-len(payload) // size))
+                for c in range(chunks):
+                    part = bytes(view[c * size : (c + 1) * size])
+                    held.append((page_id, url if c == 0 else None, len(payload), whole, row_no, c, part, c + 1 == chunks))
+                    waiting += len(part)
+                    if waiting >= 16 * CHUNK or len(held) >= 1024:
+                        yield full()
+                        held, waiting = [], 0
+            if held:
+                yield full()
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"page_id {kind}, url string, payload_bytes long, payload_digest string, row_no long, chunk_no long, chunk binary, last boolean")
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, level: int = 1, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write the archives of ``pages`` to ``folder``; the names of the files and their numbers of records."""
     chosen = decisions(cut(payload_digests(pages, id_col, payload_col), "digests"), least)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("binary").alias("payload"))
-    rows = rows.withColumn("hex", F.sha1(F.coalesce("payload", F.lit(b""))))
-    chosen = chosen.select(F.col("page_id").alias("id"), "payload_digest", "refers_to")
-    # the digest tells apart rows that share an id; base32 and hexadecimal are compared in the writer
-    joined = rows.join(chosen, F.col("page_id").eqNullSafe(F.col("id"))).select("page_id", "url", "payload", "payload_digest", "refers_to", "hex")
+    chosen = chosen.select(F.col("page_id").alias("id"), F.col("payload_digest").alias("of"), "refers_to")
+    chunks = payload_chunks(pages, CHUNK, id_col, url_col, payload_col)
+    # one decision for each id and digest, so that no row is joined with another page's
+    joined = chunks.join(chosen, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("of"))).where("chunk_no = 0 OR refers_to IS NULL")
+    joined = joined.select("page_id", "payload_digest", "row_no", "chunk_no", "url", "payload_bytes", "refers_to", "chunk", "last").sortWithinPartitions("page_id", "payload_digest", "row_no", "chunk_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, base = _at(folder)
-        name = f"part-{task.partitionId():06d}.warc.gz"
-        trying = f"{base}/.{name}.{task.taskAttemptId()}"
-        out, count = None, 0
+        name = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        out = packer = None
+        count = 0
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, url, digest, refers = (batch.column(c)[k].as_py() for c in (0, 1, 3, 4))
-                if base64.b32decode(digest).hex() != batch.column(5)[k].as_py():
-                    continue
-                payload = batch.column(2)[k].as_buffer() or b""
+                page_id, digest, _, chunk_no, url, size, refers = (batch.column(c)[k].as_py() for c in range(7))
                 if out is None:
                     store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(trying, compression=None)
-                for piece in _members(page_id, url, payload, digest, refers, level):
-                    if piece:
-                        out.write(piece)
-                count += 1
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
+                if chunk_no == 0:
+                    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+                    out.write(packer.compress(_head(page_id, url, size, digest, refers)))
+                    count += 1
+                if refers is None:
+                    out.write(packer.compress(memoryview(batch.column(7)[k].as_buffer())))
+                if refers is not None or batch.column(8)[k].as_py():
+                    out.write(packer.compress(b"\r\n\r\n") + packer.flush())
         if out is not None:
             out.close()
-            store.move(trying, f"{base}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["file", "records"])
 
     return joined.mapInArrow(run, "file string, records long")
 
 
+def tidy(written: DataFrame, folder: str) -> int:
+    """Delete the files in ``folder`` that ``written`` does not list, which failed attempts of tasks have left; their number. No task may be writing."""
+    spark = written.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    names = {r["file"] for r in written.select("file").collect()}  # one for each partition
+    left = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName() not in names]
+    return sum(bool(fs.delete(x, False)) for x in left)
+
+
 class _Stream:
     """Decompressed bytes of a run of gzip members, read by line or by number."""
 
