@@ -1,31 +1,33 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Training reads the texts of a bounded sample: of each language about ``per_language`` documents, chosen by a hash of
-their id (the only bound, and a parameter; languages with fewer documents give all they have). Workers count hashed
-n-grams by language, the counts are summed in Spark, and the matrix of log-probabilities, at most ``most_languages`` by
-2**``bits`` single-precision numbers, goes to the workers. Scoring gathers the rows of that matrix for the n-grams of a batch and
-sums them by document in numpy.
+their id and text (the only bound, and a parameter; languages with fewer documents give all they have). All languages are learned. Workers
+count hashed n-grams by language and send the counts that are not 0, Spark sums them by language, and the matrix of
+log-probabilities, 128 KB a language at 2**15 buckets in single precision, goes to the workers. Scoring gathers the rows of
+that matrix for the n-grams of a batch and sums them by document in numpy.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0. Where no labelled row can be learned from, all is ``und``.
-Repeated rows are scored alike. Ties go to the language that sorts first. Whole texts are read.
+Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0. Where no labelled row can be learned from,
+all is ``und``. Repeated rows are scored alike. Ties go to the language that sorts first. Ids may be of any type. Whole texts are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblattice.llm.arrow import pieces
 from weblattice.llm.grams import hashed, lowered
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+#: Languages whose counts a worker holds before it sends them.
+HELD = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,48 +63,58 @@ class LanguageModel:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
-def train(docs: DataFrame, per_language: int = 1000, most_languages: int = 256, sizes: tuple[int, ...] = (1, 2, 3), bits: int = 15) -> LanguageModel:
-    """Learn from ``docs`` (doc_id, text, lang); rows with a null text or lang teach nothing. More than ``most_languages`` languages are an error."""
+def train(docs: DataFrame, per_language: int = 1000, sizes: tuple[int, ...] = (1, 2, 3), bits: int = 15) -> LanguageModel:
+    """Learn from ``docs`` (doc_id, text, lang); rows with a null text or lang teach nothing."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages to learn; raise most_languages")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), sizes, bits)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * 1_000_000)
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * 1_000_000)
     index = {lang: k for k, lang in enumerate(languages)}
 
+    def sent(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, own in held.items():
+            full = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([full.astype("<i4").tobytes()]), pa.array([own[full].astype("<i8").tobytes()])], names=["k", "at", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(index), 1 << bits), np.int64)
+        held: dict[int, np.ndarray] = {}
         for batch, texts in pieces(batches, 0):
             langs = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
+            here, local = np.unique(langs, return_inverse=True)
+            if len(held) + len(here) > HELD:
+                yield from sent(held)
+                held = {}
             points, ends = lowered(texts)
             for bucket, owner in hashed(points, ends, sizes, bits):
-                table += np.bincount((langs[owner] << bits) | bucket, minlength=table.size).reshape(table.shape)
-        for k in range(len(index)):
-            full = np.flatnonzero(table[k])
-            if len(full):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([full.astype("<i4").tobytes()]), pa.array([table[k][full].astype("<i8").tobytes()])], names=["k", "at", "n"])
-
-    def add(parts: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros((len(index), 1 << bits), np.int64)
-        for k, at, n in parts:
-            total[k, np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
-        return total
+                order = np.argsort(local[owner], kind="stable")
+                cuts = np.searchsorted(local[owner][order], np.arange(len(here) + 1))
+                for k, lang in enumerate(here.tolist()):
+                    own = held.setdefault(lang, np.zeros(1 << bits, np.int64))
+                    own += np.bincount(bucket[order[cuts[k] : cuts[k + 1]]], minlength=1 << bits)
+        yield from sent(held)
+
+    def total(at: list[bytes], n: list[bytes]) -> np.ndarray:
+        out = np.zeros(1 << bits, np.int64)
+        for x, y in zip(at, n, strict=True):
+            out[np.frombuffer(x, "<i4")] += np.frombuffer(y, "<i8")
+        return out
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        total = add(zip(table.column("k").to_pylist(), table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True))[key[0].as_py()]
-        full = np.flatnonzero(total)
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([full.astype("<i4").tobytes()]), "n": pa.array([total[full].astype("<i8").tobytes()])})
+        own = total(table.column("at").to_pylist(), table.column("n").to_pylist())
+        full = np.flatnonzero(own)
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([full.astype("<i4").tobytes()]), "n": pa.array([own[full].astype("<i8").tobytes()])})
 
     schema = "k int, at binary, n binary"
-    parts = chosen.select("text", "lang").mapInArrow(count, schema).groupBy("k").applyInArrow(merge, schema).collect()
-    table = add((r["k"], r["at"], r["n"]) for r in parts).astype(np.float64) + 0.5
-    logs = np.log(table / table.sum(axis=1, keepdims=True)).T
+    logs = np.zeros((1 << bits, len(languages)), np.float32)
+    logs[:] = -np.log(1 << bits)  # of a language without any n-gram
+    for r in chosen.select("text", "lang").mapInArrow(count, schema).groupBy("k").applyInArrow(merge, schema).coalesce(4).toLocalIterator():
+        own = total([r["at"]], [r["n"]]) + 0.5
+        logs[:, r["k"]] = np.log(own / own.sum())
     priors = np.log(np.full(len(languages), 1 / len(languages)))
-    return LanguageModel(languages, np.ascontiguousarray(logs, np.float32), priors, sizes, bits)
+    return LanguageModel(languages, logs, priors, sizes, bits)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
