@@ -4,21 +4,24 @@ A text is parsed in levels. On each level runs of one symbol become one symbol;
 lowest bit in which a symbol differs from its left neighbour, three times) labels the symbols with fewer than eight labels, so that equal
 neighbours do not occur; phrases begin where a label is a local maximum; and a phrase's name is a hash of its symbols, which are the next level's
 text. Where a phrase begins depends on four symbols before it and one after it, so equal substrings have the same phrases inside,
-wherever they stand. The names of the second and third level are the features of a text; a short text has those of the first level too.
+wherever they stand. The names of all three levels are the features of a text, of whatever length.
 
 A fingerprint keeps, for each of 128 slots, the least of the features that fall into it, as four hexadecimal digits (``ffff``: none).
 Likeness is the share of slots that agree among those that either fingerprint has; it estimates the Jaccard similarity of the feature sets.
 
-The next document in the order of ids is found without a global sort: documents are dealt by ranges of ids, whose bounds are ids that
-occur; the document at a bound is also sent to the range before it, and each range is read in order, one document ahead.
+The next document in the order of ids is found without a global sort: documents are dealt by ranges of id and text hash, whose bounds are
+pairs that occur; the documents at a bound are also sent to the range before it, and each range is read in order, one document ahead. An id
+that very many rows have, or none, takes several ranges.
 
-Defined cases: a null text is empty; the fingerprint of an empty text has no features, and two such are alike (1). Null ids come last. Rows that share an
-id are ordered by text. After the last document comes the first, which may be the document itself. Repeated rows stay repeated.
+Defined cases: a null text is empty; the fingerprint of an empty text has no features, and two such are alike (1). Null ids come last, with the largest
+64-bit number. Rows that share an id are ordered by a hash of their text, then by text. After the last document comes the first, which may be the document
+itself. Repeated rows stay repeated; rows equal in id and text lie in one range. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +32,7 @@ from pyspark.sql import functions as F
 from weblattice.llm.arrow import code_points, mix64, powers
 
 SLOTS, EMPTY = 128, 0xFFFF
-LEVELS = (2, 3)
-#: A text with fewer phrases than this on the first of those levels also has the names of the level below.
-FEW = 16
+LEVELS = (1, 2, 3)
 _ONE = np.uint64(1)
 
 
@@ -82,15 +83,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points, ends = code_points(texts)
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(ends, prepend=0))
     names, found = mix64(points.astype(np.uint64) + _ONE), []
-    levels = []
-    for _ in range(max(LEVELS)):
+    for level in range(1, max(LEVELS) + 1):
         names, owner = parse(names, owner)
-        levels.append((names, owner))
-    for level, (names, owner) in enumerate(levels, 1):
-        if level == LEVELS[0] - 1:
-            few = np.bincount(levels[level][1], minlength=len(texts)) < FEW
-            names, owner = names[few[owner]], owner[few[owner]]
-        if level >= LEVELS[0] - 1:
+        if level in LEVELS:
             found.append((mix64(names ^ np.uint64(level * 0x5851F42D4C957F2D & (2**64 - 1))), owner))
     return np.concatenate([x for x, _ in found]), np.concatenate([o for _, o in found])
 
@@ -139,37 +134,59 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    """Up to ``parts`` ids that occur, the least first, at about equal distances in the order of ids."""
+#: The number that a null id is ordered by.
+LAST = np.iinfo(np.int64).max
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Up to ``parts`` pairs of id and text hash that occur, the least of all first, at about equal distances in their order; ``rows`` has id and h."""
     shares = [k / parts for k in range(parts)]
-    found = docs.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)).alias("at")).first()
-    return sorted({found["least"], *(found["at"] or [])} - {None})
+    found = rows.agg(F.min("id").alias("least"), F.percentile_approx("id", shares, max(10_000, 20 * parts)).alias("at")).first()
+    if found["least"] is None:
+        return []
+    # an id with more than a part of the rows is found several times, and is cut by its hashes into as many ranges
+    times = Counter([found["least"], *found["at"]])
+    slots = F.create_map(*[F.lit(x) for pair in times.items() for x in pair])
+    n = F.element_at(slots, F.col("id"))
+    slot = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * n)
+    firsts = rows.where(F.col("id").isin(list(times))).groupBy("id", F.least(slot, n - 1).alias("slot")).agg(F.min("h").alias("h")).collect()
+    return sorted((r["id"], r["h"]) for r in firsts)
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next of every row; ids are whole numbers."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(int(LAST))).alias("id"), F.xxhash64("text").alias("h"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(_bounds(rows, parts), np.int64)
+    bounds = _bounds(rows.select("id", "h"), parts)
+    bound_ids, bound_hashes = (np.array([x[k] for x in bounds], np.int64) for k in (0, 1))
     last = max(len(bounds) - 1, 0)
+    names = ["doc_id", "text", "id", "h", "part", "turn"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # turn: 0 an own document, 1 the first one of the next range, 2 the first one of all
         for batch in batches:
-            ids = batch.column(0)
-            values = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-            part = np.clip(np.searchsorted(bounds, values, side="right") - 1, 0, last)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(part, pa.int32()), pa.array(np.zeros(len(part)), pa.int32())], names=["doc_id", "text", "part", "turn"])
-            at_bound = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & np.isin(values, bounds)) if len(bounds) else []
-            if len(at_bound):
-                again, where = batch.take(pa.array(at_bound)), part[at_bound]
-                yield pa.RecordBatch.from_arrays([again.column(0), again.column(1), pa.array(np.where(where > 0, where - 1, last), pa.int32()), pa.array(np.where(where > 0, 1, 2), pa.int32())], names=["doc_id", "text", "part", "turn"])
+            ids, hashes = (batch.column(k).to_numpy() for k in (2, 3))
+            part = np.searchsorted(bound_ids, ids, side="left")  # the first bound of that id, or of a larger one
+            at = []
+            for k in np.flatnonzero(np.isin(bound_ids, ids)):  # bounds of one id are side by side, in the order of hashes
+                own = bound_ids[k] == ids
+                part[own & (hashes >= bound_hashes[k])] = k + 1
+                same = np.flatnonzero(own & (hashes == bound_hashes[k])).tolist()
+                if same:  # rows of one id and hash nearly always have one text
+                    at.append(min(same, key=lambda i: batch.column(1)[i].as_py()))
+            part = np.clip(part - 1, 0, last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array(np.zeros(len(part)), pa.int32())], names=names)
+            if at:
+                where = part[at]
+                again = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(np.where(where > 0, where - 1, last), pa.int32()), pa.array(np.where(where > 0, 1, 2), pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a partition is one range: its own documents in order, then copies of the document that follows the last of them
         ready: list[tuple[int | None, str, str]] = []
-        size, held, start = 0, None, ""
+        size, held = 0, None
 
         def flush() -> pa.RecordBatch:
             ids, own, following = zip(*ready, strict=True)
@@ -182,21 +199,17 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for batch in batches:
-            for doc_id, text, turn in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+            for doc_id, text, turn in zip(*(batch.column(k).to_pylist() for k in (0, 1, 5)), strict=True):
                 if held is not None:
                     ready.append((*held, text))
                     size += len(text)
                     if size >= 1 << 17:
                         yield flush()
                         ready, size = [], 0
-                elif turn == 0:
-                    start = text
                 held = (doc_id, text) if turn == 0 else None
-        if held is not None:  # no copy follows only where no document has an id
-            ready.append((*held, start))
         if ready:
             yield flush()
 
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, part int, turn int")
-    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "turn", F.col("doc_id").asc_nulls_last(), "text")
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, id long, h long, part int, turn int")
+    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "turn", "id", "h", "text", F.col("doc_id").asc_nulls_last())
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
