@@ -3,7 +3,7 @@
 A pre-token that is itself in the vocabulary is resolved by a minimal perfect hash: as many slots as tokens, found by
 one hash and the displacement of its bucket, and confirmed by comparing the bytes. Any other pre-token is merged on a linked list of its bytes,
 with a heap of the ranks of adjacent pairs, in O(n log n). Each worker remembers the ids of the
-pieces and pre-tokens used most lately, at most 6 * ``memo`` of them; that changes no result.
+pieces and pre-tokens used most lately, none longer than ``LONGEST`` and all of them in a bounded number of bytes; that changes no result.
 
 Tables go to the workers once; their size is that of the vocabulary. No special tokens are known: their strings are ordinary text.
 
@@ -96,39 +96,56 @@ class PerfectHash:
         return np.fromiter((s if mine[s] == k else -1 for s, k in zip(slots.tolist(), keys, strict=True)), np.int64, len(keys))
 
 
+#: The longest string whose result is remembered, in characters, and about the bytes that an entry takes besides its contents.
+LONGEST, ENTRY = 64, 160
+
+
 class Memo:
     """The results of a function for strings, kept for the strings used most lately.
 
-    Of two generations of at most ``size`` strings the older is dropped when the younger is full.
+    Of two generations of about ``size`` bytes each the older is dropped when the younger is full. Strings of more than
+    ``LONGEST`` characters are computed each time.
     """
 
     def __init__(self, size: int, function):
         self.size, self.function = size, function
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.used = 0
 
     def all(self, keys: list[str]) -> list[bytes]:
         young = self.young
         new = [k for k in set(keys) if k not in young]
-        if new:
-            if len(young) + len(new) > self.size:
-                self.old, self.young = young, {}
-                young, new = self.young, list(set(keys))
-            old = self.old
-            unknown = []
-            for k in new:
-                if (value := old.get(k)) is not None:
-                    young[k] = value
-                else:
-                    unknown.append(k)
-            young.update(zip(unknown, self.function(unknown), strict=True))
-        return [young[k] for k in keys]
+        if not new:
+            return [young[k] for k in keys]
+        old, long, unknown, used = self.old, [], [], 0
+        for k in new:
+            if (value := old.get(k)) is not None:
+                young[k] = value
+                used += len(k) + len(value) + ENTRY
+            elif len(k) > LONGEST:
+                long.append(k)
+            else:
+                unknown.append(k)
+        found = self.function(unknown)
+        more = sum(map(len, unknown)) + sum(map(len, found)) + ENTRY * len(unknown)
+        once = dict(zip(long, self.function(long), strict=True)) if long else {}
+        if more <= self.size:
+            young.update(zip(unknown, found, strict=True))
+            used += more
+        else:  # more than a generation holds
+            once.update(zip(unknown, found, strict=True))
+        out = [young[k] if k in young else once[k] for k in keys] if once else [young[k] for k in keys]
+        self.used += used
+        if self.used > self.size:
+            self.old, self.young, self.used = young, {}, 0
+        return out
 
 
 class Bpe:
     """An encoder and decoder for one vocabulary and split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 1 << 16):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 16 << 20):
         self.pattern, self.memo = pattern, memo
         self.lookup = PerfectHash(list(ranks))
         self.slot_ids = np.array([ranks[k] for k in self.lookup.keys], np.uint32)
@@ -141,7 +158,7 @@ class Bpe:
 
     def _ready(self) -> None:
         self.split = regex.compile(self.pattern).findall
-        self.of_tokens = Memo(2 * self.memo, self._pre_tokens)
+        self.of_tokens = Memo(2 * self.memo, self._pre_tokens)  # ``memo`` is a number of bytes
         self.of_pieces = Memo(self.memo, self._pieces)
 
     def __getstate__(self) -> dict:
