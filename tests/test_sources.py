@@ -139,5 +139,5 @@ def test_sweeps_by_bytes_and_characters(spark):
 
 
 def test_fail_reasons(spark):
-    rows = spark.createDataFrame([(404, None, None, None), (None, "IgnoreRequest", "robots", None), (None, "DownloadError", "larger than download max size", None), (None, "TimeoutError", None, None), (200, None, None, "image/png"), (200, None, None, "Text/HTML; x")], "s int, e string, m string, t string")
-    assert [r[0] for r in rows.select(H.fail_reason(*map(F.col, "semt"))).collect()] == ["HttpError 404", "IgnoreRequest robots", "ResponseSizeExceeded", "TimeoutError", "NonHTML content-type", None]
+    rows = spark.createDataFrame([(404, None, None, None), (None, "IgnoreRequest", "robots", None), (None, "IgnoreRequest", "9 bytes exceeded DOWNLOAD_MAXSIZE 8", None), (None, "TimeoutError", "exceeded", None), (200, None, None, "image/png"), (200, None, None, "Text/HTML; x")], "s int, e string, m string, t string")
+    assert [r[0] for r in rows.select(H.fail_reason(*map(F.col, "semt"))).collect()] == ["HttpError 404", "IgnoreRequest robots", "IgnoreRequest exceeded DOWNLOAD_MAXSIZE", "TimeoutError", "NonHTML content-type", None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as entities
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -13,24 +14,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-ANCHOR = r'(?is)<a\s+href="(/[^"]*)"[^>]*>(.*?)</a>'
 TITLE_MOST, ANCHOR_MOST, URL_MOST = 500, 200, 2500
 #: Content types that count as pages.
 PAGE_TYPES = ("text/html", "application/xhtml+xml")
+#: Fixed value: what messages about too large a body say.
+TOO_LARGE = "exceeded DOWNLOAD_MAXSIZE"
 
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+@F.pandas_udf(T.StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """Texts with their character references resolved."""
+    return texts.map(lambda t: None if t is None else entities.unescape(t))
+
+
 def title_of(html: Column) -> Column:
-    """First title, trimmed and cut; null if empty."""
-    return F.nullif(F.substring(strip(F.regexp_extract(html, TITLE, 1)), 1, TITLE_MOST), F.lit(""))
+    """First title with its character references resolved, trimmed and cut; null if empty."""
+    return F.nullif(F.substring(strip(unescape(F.regexp_extract(html, TITLE, 1))), 1, TITLE_MOST), F.lit(""))
 
 
-def root_links(html: Column) -> Column:
-    """Array of the root-relative links of a page, in order."""
-    return F.regexp_extract_all(html, F.lit(ANCHOR), 1)
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("anchor", T.StringType())])))
+def links_of(urls: pd.Series, pages: pd.Series) -> pd.Series:
+    """The outlinks of pages, by the HTML parser: see ``parse_page``."""
+    return pd.Series([[{"url": u, "anchor": a} for u, a in parse_page(url or "", page or "")[1]] for url, page in zip(urls, pages, strict=True)])
 
 
 def is_page(content_type: Column) -> Column:
@@ -39,11 +48,11 @@ def is_page(content_type: Column) -> Column:
 
 
 def fail_reason(status: Column, error: Column, message: Column, content_type: Column) -> Column:
-    """A failed fetch's reason: HTTP status, ignored request, too large a body, no page, or the error's name."""
+    """A failed fetch's reason: HTTP status, ignored request (one word for all that are too large), the error's name, or no page."""
     return (
         F.when(status >= 400, F.concat(F.lit("HttpError "), status.cast("string")))
+        .when((error == "IgnoreRequest") & F.coalesce(message, F.lit("")).contains(TOO_LARGE), F.lit(f"IgnoreRequest {TOO_LARGE}"))
         .when(error == "IgnoreRequest", F.concat(F.lit("IgnoreRequest "), F.coalesce(message, F.lit(""))))
-        .when(message.contains("larger than download max size") | message.contains("exceeded"), F.lit("ResponseSizeExceeded"))
         .when(error.isNotNull(), error)
         .when(~is_page(content_type), F.lit("NonHTML content-type"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: The forms of host in a URL (general, and http only), and of a strict DNS name.
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^/?#:@\[]*))"
 HTTP_HOST = r"^https?://([^/:]+)"
-DNS_NAME = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$"
+DNS_NAME = r"^[a-z0-9]([a-z0-9-]{0,62}[a-z0-9])?(\.[a-z0-9]([a-z0-9-]{0,62}[a-z0-9])?)*$"
 MAX_URL = 2500
 #: Public suffixes known without a network; any other ending has no registered domain.
 SUFFIXES = "com net org edu gov mil int info biz io ai dev app de fr es it nl uk us jp cn tw hk kr in au ca br ru eu ch at be se no dk fi pl cz pt gr tr mx za nz".split()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblattice.functions import keys as K
@@ -44,12 +44,20 @@ def resolve_domains(domains: DataFrame, known: DataFrame) -> DataFrame:
     return old.unionByName(fresh)
 
 
-def explode_links(results: DataFrame, url: str = "url", hrefs: str = "hrefs") -> DataFrame:
-    """One row per outlink of a page: seq, position, absolute url, host and the page it was found on; no empty or oversized ones."""
-    origin = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
-    rows = results.select("seq", F.col(url).alias("discovered_from"), origin.alias("origin"), F.posexplode(hrefs).alias("position", "href"))
-    rows = rows.where((F.col("href") != "")).withColumn("url", F.when(F.col("href").startswith("/"), F.concat("origin", "href")).otherwise(F.col("href")))
-    return rows.where(K.fits_url_cap(F.col("url"))).select("seq", "position", "url", K.host_of(F.col("url")).alias("host"), "discovered_from")
+def explode_links(results: DataFrame, url: str = "url", outlinks: str = "outlinks") -> DataFrame:
+    """One row per outlink of a page: seq, position, url, host, anchor and the page it was found on; no empty or oversized ones."""
+    rows = results.select("seq", F.col(url).alias("discovered_from"), F.posexplode(outlinks).alias("position", "link"))
+    rows = rows.select("seq", "position", F.col("link.url").alias("url"), F.col("link.anchor").alias("anchor"), "discovered_from")
+    return rows.where(K.fits_url_cap(F.col("url")) & (F.col("url") != "")).select("seq", "position", "url", K.host_of(F.col("url")).alias("host"), "anchor", "discovered_from")
+
+
+def rewrite_outlinks(results: DataFrame, domains: DataFrame, key: Column) -> DataFrame:
+    """seq and outlinks (url, domain_id, anchor) of every page that has any, in order, with the ids of the links' domains; ``key`` is a link's domain by its host."""
+    known = domains.select(F.col("domain").alias("known_domain"), F.col("domain_id").alias("known_id"))
+    rows = explode_links(results).withColumn("domain", key)
+    bound = rows.join(known, F.col("domain") == F.col("known_domain"), "left")
+    link = F.struct("position", F.struct("url", F.col("known_id").alias("domain_id"), "anchor").alias("link"))
+    return bound.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(link)), lambda x: x["link"]).alias("outlinks"))
 
 
 def first_links(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -65,7 +73,7 @@ def link_edges(links: DataFrame, anchors: str = "anchor") -> DataFrame:
 
 def page_features(results: DataFrame) -> DataFrame:
     """Content length, digest and number of links of pages that were fetched."""
-    return results.where("status = 'ok'").select("seq", "url", F.length("content").cast("long").alias("content_length"), "content_hash", F.size(F.coalesce("hrefs", F.array().cast("array<string>"))).cast("long").alias("num_links"))
+    return results.where("status = 'ok'").select("seq", "url", F.length("content").cast("long").alias("content_length"), "content_hash", F.greatest(F.size("outlinks"), F.lit(0)).cast("long").alias("num_links"))
 
 
 def latest_features(rows: DataFrame, current: DataFrame | None = None) -> DataFrame:

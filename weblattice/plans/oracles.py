@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from weblattice.functions import html as H
-from weblattice.functions import keys as K
+#: Fixed values, written out here again so that an error in the library's own does not hide.
+HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^/?#:@\[]*))"
+HTTP_HOST = r"^https?://([^/:]+)"
+DNS_NAME = r"[a-z0-9]([a-z0-9-]{0,62}[a-z0-9])?(\.[a-z0-9]([a-z0-9-]{0,62}[a-z0-9])?)*"
+SUFFIXES = "com net org edu gov mil int info biz io ai dev app de fr es it nl uk us jp cn tw hk kr in au ca br ru eu ch at be se no dk fi pl cz pt gr tr mx za nz".split()
+LONG_SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp ne.jp or.jp ac.jp com.cn net.cn org.cn gov.cn com.tw org.tw edu.tw gov.tw com.hk co.kr or.kr co.in com.br com.mx co.za co.nz com.tr".split()
 
 SPLIT = "TIMESTAMP '2024-01-16 00:00:00'"
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -11,13 +15,13 @@ _LOWER_HOST = "lower(regexp_extract({u}, '{p}', 1) || regexp_extract({u}, '{p}',
 
 
 def host(url: str) -> str:
-    return _LOWER_HOST.format(u=url, p=K.HOST)
+    return _LOWER_HOST.format(u=url, p=HOST)
 
 
 def registered(h: str) -> str:
     """Registered domain of a host expression."""
-    long = ", ".join(f"'{x}'" for x in K.LONG_SUFFIXES)
-    short = ", ".join(f"'{x}'" for x in K.SUFFIXES)
+    long = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+    short = ", ".join(f"'{x}'" for x in SUFFIXES)
     labels = f"string_split({h}, '.')"
     return (
         f"CASE WHEN len({labels}) >= 3 AND array_to_string({labels}[-2:], '.') IN ({long}) THEN array_to_string({labels}[-3:], '.') "
@@ -65,12 +69,17 @@ log_event AS (SELECT event_id AS seq, ts, event, CAST(user_id % 16 AS INT) AS wo
     + ", ".join(f"CASE WHEN event = 'spider.heartbeat' THEN k * {n} END AS {g}" for n, g in enumerate(("inflight", "pending", "active_domains", "transferring", "slot_queue"), 1))
     + " FROM x)"
 )
-_TITLE, _ANCHOR = H.TITLE.replace("(?is)", ""), H.ANCHOR.replace("(?is)", "")
+_TITLE, _LINK = "<title[^>]*>(.*?)</title>", '<a\\s+href="([^"]*)"[^>]*>(.*?)</a>'
+#: The character references that the pages have.
+_TEXT = "replace(replace(replace(replace({t}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 RESULTS = f"""crawl_result AS (SELECT page_id AS seq, url, {host("url")} AS host, CASE WHEN coalesce(html, '') <> '' THEN 'ok' ELSE 'fail' END AS status, html AS content, CASE WHEN coalesce(html, '') <> '' THEN sha1(html) END AS content_hash,
-  nullif(substr(regexp_replace(regexp_extract(html, '{_TITLE}', 1, 'is'), '^\\s+|\\s+$', '', 'g'), 1, {H.TITLE_MOST}), '') AS title, regexp_extract_all(html, '{_ANCHOR}', 1, 'is') AS hrefs FROM pages)"""
+  nullif(substr(regexp_replace({_TEXT.format(t=f"regexp_extract(html, '{_TITLE}', 1, 'is')")}, '^\\s+|\\s+$', '', 'g'), 1, 500), '') AS title, regexp_extract_all(html, '{_LINK}', 1, 'is') AS hrefs, regexp_extract_all(html, '{_LINK}', 2, 'is') AS anchors FROM pages)"""
 DOMAINS = RESULTS + f", hd AS (SELECT *, host AS domain, {shard('host')} AS shard_id FROM crawl_result)"
-LINKS = """links AS (SELECT seq, pos - 1 AS position, CASE WHEN starts_with(href, '/') THEN regexp_extract(page, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || href ELSE href END AS url, page
-  FROM (SELECT seq, url AS page, unnest(hrefs) AS href, unnest(range(1, len(hrefs) + 1)) AS pos FROM crawl_result) WHERE href <> '')"""
+#: Links of pages, each target once: the pages have links from the root only, whose words are percent-encoded.
+LINKS = f"""raw AS (SELECT seq, url AS page, unnest(hrefs) AS href, unnest(anchors) AS anchor, unnest(range(1, len(hrefs) + 1)) AS pos FROM crawl_result),
+absolute AS (SELECT *, lower(regexp_extract(page, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) || array_to_string(list_transform(string_split(href, '/'), lambda x: replace(url_encode(x), '%2C', ',')), '/') AS url FROM raw),
+once AS (SELECT * FROM absolute QUALIFY row_number() OVER (PARTITION BY seq, url ORDER BY pos) = 1),
+links AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS position, url, page, substr(regexp_replace({_TEXT.format(t="regexp_replace(anchor, '<[^>]*>', '', 'g')")}, '^\\s+|\\s+$', '', 'g'), 1, 200) AS anchor FROM once WHERE length(url) <= 2500)"""
 FRONTIER = (
     EVENTS
     + """,
@@ -150,9 +159,9 @@ def all_oracles() -> dict[str, str]:
         "shard_assign": f"WITH {RESULTS}, a AS (SELECT seq, host, {key('host')} AS shard_key FROM crawl_result), b AS (SELECT *, {shard('shard_key', 256, PINNED)} AS shard_id FROM a) SELECT *, CAST(shard_id // 16 AS INT) AS ingestor_id FROM b",
         "shard_assign_split": f"WITH {RESULTS}, a AS (SELECT seq, {key('host', split)} AS shard_key FROM crawl_result), b AS (SELECT *, {shard('shard_key', 100)} AS shard_id FROM a) SELECT *, CAST(shard_id // 10 AS INT) AS ingestor_id FROM b",
         "shard_distribution": f"WITH {RESULTS}, a AS (SELECT host, {key('host')} AS k FROM crawl_result), b AS (SELECT {shard('host')} AS new_shard, {shard('k', 256, PINNED)} AS shard_id FROM a) SELECT new_shard, count(*) AS urls, sum((new_shard <> shard_id)::INT)::BIGINT AS moving FROM b GROUP BY new_shard",
-        "host_counts": f"WITH {DOMAINS}, a AS (SELECT coalesce(nullif(lower(regexp_extract(url, '{K.HTTP_HOST}', 1)), ''), '(null)') AS host, seq, shard_id FROM hd) SELECT host, count(*) AS urls, sum((seq % 3 <> 0)::INT)::BIGINT AS fetched, array_to_string(list(DISTINCT shard_id ORDER BY shard_id), ',') AS shards FROM a GROUP BY host",
+        "host_counts": f"WITH {DOMAINS}, a AS (SELECT coalesce(nullif(lower(regexp_extract(url, '{HTTP_HOST}', 1)), ''), '(null)') AS host, seq, shard_id FROM hd) SELECT host, count(*) AS urls, sum((seq % 3 <> 0)::INT)::BIGINT AS fetched, array_to_string(list(DISTINCT shard_id ORDER BY shard_id), ',') AS shards FROM a GROUP BY host",
         "extract_titles": f"WITH {RESULTS} SELECT seq, url, title FROM crawl_result",
-        "page_overview": f"WITH {RESULTS} SELECT seq, url, length(content)::BIGINT AS content_length, content_hash, len(hrefs)::BIGINT AS num_links FROM crawl_result WHERE status = 'ok'",
+        "page_overview": f"WITH {RESULTS}, {LINKS}, n AS (SELECT seq, count(*) AS n FROM links GROUP BY seq) SELECT seq, url, length(content)::BIGINT AS content_length, content_hash, coalesce(n, 0)::BIGINT AS num_links FROM crawl_result LEFT JOIN n USING (seq) WHERE status = 'ok'",
         "outlinks_exploded": f"WITH {RESULTS}, {LINKS} SELECT seq, position::INT AS position, url, {host('url')} AS host FROM links WHERE length(url) <= 2500",
         "route_new_links": f"WITH {RESULTS}, {LINKS}, l AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq, position) AS k FROM links WHERE length(url) <= 2500), h AS (SELECT url, {host('url')} AS host, page AS discovered_from FROM l WHERE k = 1 AND url NOT IN (SELECT url FROM pages)), s AS (SELECT *, {key('host')} AS sk FROM h) SELECT url, host, discovered_from, {shard('sk')} AS shard_id FROM s",
         "domain_registry": _seen_and_known() + ", fresh AS (SELECT domain, new_shard FROM seen WHERE domain NOT IN (SELECT domain FROM known)) SELECT (row_number() OVER (ORDER BY substr(md5(domain), 1, 3), domain) + coalesce((SELECT max(domain_id) FROM known), 0))::BIGINT AS domain_id, domain, new_shard AS shard_id, 0.0::DOUBLE AS domain_score, 'new' AS change FROM fresh UNION ALL SELECT domain_id, domain, CASE WHEN new_shard IS NOT NULL THEN new_shard ELSE shard_id END, 0.5::DOUBLE, CASE WHEN new_shard IS NOT NULL AND new_shard IS DISTINCT FROM shard_id THEN 'moved' ELSE 'same' END FROM known LEFT JOIN seen USING (domain)",
@@ -209,7 +218,11 @@ a AS (SELECT *, CASE WHEN length(url) > 2500 OR domain IS NULL THEN 'failed' WHE
         "parent_reshard_plan": f"WITH {RESULTS}, a AS (SELECT seq, url, {key('host')} AS k FROM crawl_result), b AS (SELECT seq, url, {shard('k')} AS shard_id, {shard('k', 256, PINNED)} AS new_shard FROM a) SELECT * FROM b WHERE shard_id <> new_shard",
         "prefer_destination": f"WITH {FRONTIER} SELECT url, domain_id, num_scheduled_90d FROM frontier WHERE domain_id % 3 <> 0 UNION ALL SELECT url, domain_id, 0 FROM frontier WHERE domain_id % 2 = 0 AND domain_id % 3 = 0",
         "snapshot_resync": f"WITH {LOG}, t AS (SELECT shard_id, max(seq) AS max_id FROM fetch_log GROUP BY shard_id), s AS (SELECT *, CASE WHEN shard_id % 2 = 0 THEN 10 ELSE 100000000 END::BIGINT AS last_value FROM t) SELECT * FROM s WHERE max_id > last_value",
-        "url_link_edges": f"WITH {RESULTS}, l AS (SELECT url AS src_url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || unnest(hrefs) AS dst_url, unnest(regexp_extract_all(content, '{_ANCHOR}', 2, 'is')) AS anchor, seq FROM crawl_result) SELECT src_url, dst_url, md5(anchor) AS anchor_hash, min(anchor) AS anchor_text, min(seq) AS first_seen, max(seq) AS last_seen FROM l GROUP BY src_url, dst_url, md5(anchor)",
+        "url_link_edges": f"WITH {RESULTS}, {LINKS} SELECT page AS src_url, url AS dst_url, md5(anchor) AS anchor_hash, min(anchor) AS anchor_text, min(seq) AS first_seen, max(seq) AS last_seen FROM links GROUP BY page, url, md5(anchor)",
+        "outlinks_rewritten": _seen_and_known() + f", {LINKS}, b AS (SELECT l.*, known.domain_id FROM (SELECT *, {host('url')} AS h FROM links) l LEFT JOIN known ON known.domain = l.h) SELECT seq, count(*) AS num_links, string_agg(url || '|' || coalesce(domain_id::VARCHAR, '-') || '|' || anchor, chr(10) ORDER BY position) AS outlinks FROM b GROUP BY seq",
         "qps_policy": f"WITH {RESULTS}, h AS (SELECT DISTINCT host FROM crawl_result) SELECT host, CASE WHEN starts_with(host, 'blog.') THEN 1.5 ELSE 5.0 END::DOUBLE AS delay, CASE WHEN starts_with(host, 'blog.') THEN 2 ELSE 4 END AS concurrency FROM h",
-        "dns_names": f"WITH {RESULTS}, n AS (SELECT CASE WHEN seq % 10 = 0 THEN host || '_x' ELSE host END AS name FROM crawl_result) SELECT regexp_matches(name, '{K.DNS_NAME}') AS valid, count(*) AS n, count(DISTINCT name) AS names FROM n GROUP BY ALL",
+        "dns_names": f"WITH {RESULTS}, m AS (SELECT CASE WHEN seq % 10 = 0 THEN host || '_x' ELSE host END AS name FROM crawl_result), n AS (SELECT name FROM m UNION ALL SELECT regexp_extract(name, '^[^.]*') FROM m UNION ALL SELECT repeat(substr(name, 1, 1), 70) FROM m) SELECT regexp_full_match(name, '{DNS_NAME}') AS valid, count(*) AS n, count(DISTINCT name) AS names FROM n GROUP BY ALL",
+        "fail_reasons": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'HttpError ' || (400 + user_id % 5) WHEN event_id % 7 = 2 THEN 'IgnoreRequest exceeded DOWNLOAD_MAXSIZE' WHEN event_id % 7 = 3 THEN 'IgnoreRequest Forbidden by robots.txt'
+  WHEN event_id % 7 = 4 THEN 'TimeoutError' WHEN event_id % 5 NOT IN (0, 1) THEN 'NonHTML content-type' END AS fail_reason FROM events""",
+        "page_types": "SELECT CASE event_id % 5 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'application/xhtml+xml' WHEN 2 THEN 'image/png' WHEN 3 THEN '' END AS content_type, count(*) AS n, event_id % 5 IN (0, 1) AS is_page FROM events GROUP BY event_id % 5",
     }

@@ -378,12 +378,19 @@ def snapshot_resync(spark, sf_dir):
 
 
 def url_link_edges(spark, sf_dir):
-    results = derive.crawl_result(spark, sf_dir).select("seq", "url", F.explode(F.arrays_zip(F.col("hrefs").alias("href"), F.regexp_extract_all("content", F.lit(H.ANCHOR), 2).alias("anchor"))).alias("l"))
-    origin = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
-    links = results.select(F.col("url").alias("src_url"), F.concat(origin, "l.href").alias("dst_url"), F.col("l.anchor").alias("anchor"), F.col("seq").alias("seen_at"))
+    links = routing.explode_links(derive.crawl_result(spark, sf_dir)).select(F.col("discovered_from").alias("src_url"), F.col("url").alias("dst_url"), "anchor", F.col("seq").alias("seen_at"))
     return routing.link_edges(links).withColumn("anchor_hash", F.lower(F.hex("anchor_hash")))
 
 
+def outlinks_rewritten(spark, sf_dir):
+    """Each page's outlinks as one array again, with the ids of the domains that are known."""
+    results = derive.crawl_result(spark, sf_dir)
+    _, known = _domain_tables(spark, sf_dir)
+    rows = routing.rewrite_outlinks(results, known, F.col("host"))
+    text = F.transform("outlinks", lambda x: F.concat_ws("|", x["url"], F.coalesce(x["domain_id"].cast("string"), F.lit("-")), x["anchor"]))
+    return rows.select("seq", F.size("outlinks").cast("long").alias("num_links"), F.array_join(text, "\n").alias("outlinks"))
+
+
 def qps_policy(spark, sf_dir):
     hosts = derive.crawl_result(spark, sf_dir).select("host").distinct()
     rates = hosts.where(F.col("host").startswith("blog.")).select("host", F.lit(1.5).alias("delay"), F.lit(2).alias("concurrency"))
@@ -392,9 +399,28 @@ def qps_policy(spark, sf_dir):
 
 def dns_names(spark, sf_dir):
     rows = derive.crawl_result(spark, sf_dir).select(F.when(F.col("seq") % 10 == 0, F.concat(F.col("host"), F.lit("_x"))).otherwise(F.col("host")).alias("name"))
+    rows = rows.unionByName(rows.select(F.regexp_extract("name", r"^[^.]*", 0).alias("name"))).unionByName(rows.select(F.repeat(F.substring("name", 1, 1), 70).alias("name")))
     return rows.groupBy(maintain.is_dns_name(F.col("name")).alias("valid")).agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
 
 
+def _fetch_errors(spark, sf_dir):
+    """Every event as the outcome of a fetch: status, error, message and content type."""
+    k, m = F.col("event_id") % 7, F.col("event_id") % 5
+    size = F.concat(F.lit("Response of "), F.col("user_id").cast("string"), F.lit(" bytes exceeded DOWNLOAD_MAXSIZE by some"))
+    return read_table(spark, sf_dir, "events").select(
+        "event_id", F.when(k == 0, 400 + F.col("user_id") % 5).when(k == 1, 200).cast("int").alias("status"), F.when(k.isin(2, 3), "IgnoreRequest").when(k == 4, "TimeoutError").alias("error"),
+        F.when(k == 2, size).when(k == 3, "Forbidden by robots.txt").alias("message"), F.when(m == 0, "Text/HTML; charset=utf-8").when(m == 1, "application/xhtml+xml").when(m == 2, "image/png").when(m == 3, "").alias("content_type"),
+    )
+
+
+def fail_reasons(spark, sf_dir):
+    return _fetch_errors(spark, sf_dir).select("event_id", H.fail_reason(F.col("status"), F.col("error"), F.col("message"), F.col("content_type")).alias("fail_reason"))
+
+
+def page_types(spark, sf_dir):
+    return _fetch_errors(spark, sf_dir).groupBy("content_type").agg(F.count("*").alias("n"), F.max(H.is_page(F.col("content_type"))).alias("is_page"))
+
+
 def canonicalize_urls(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", H.canonical_url("url").alias("url"))
 
@@ -429,7 +455,7 @@ QUERIES = [
     queue_upsert, refill_decision, rolloff_counters, rolloff_history, rolloff_events, rolloff_report, rolloff_missing, summary_daily, domain_stats_daily, unknown_domain_deadletter, fail_reason_histogram,
     fail_reason_maps, qps_per_worker, qps_sliding, qps_topk_domain, success_rate, latency_percentiles, heartbeat_avg, gauge_running_max, pending_per_domain, ingest_lag, batch_errors_5m, error_kinds, error_tail,
     label_filter, time_buckets, golden_inject_plan, oversized_urls, merge_subdomains, merge_event_rows, newest_feature_rows, shard_split_plan, unsplit_plan, parent_reshard_plan, prefer_destination,
-    snapshot_resync, url_link_edges, qps_policy, dns_names, canonicalize_urls, parse_pages, stream_ingest, stream_event_counters,
+    snapshot_resync, url_link_edges, outlinks_rewritten, qps_policy, dns_names, fail_reasons, page_types, canonicalize_urls, parse_pages, stream_ingest, stream_event_counters,
 ]
 
 

@@ -54,7 +54,7 @@ def crawl_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.coalesce(F.col("html"), F.lit("")) != ""
     return read_table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("seq"), "url", host.alias("host"), F.when(ok, "ok").otherwise("fail").alias("status"), F.col("html").alias("content"),
-        F.when(ok, F.sha1("html")).alias("content_hash"), H.title_of(F.col("html")).alias("title"), H.root_links(F.col("html")).alias("hrefs"),
+        F.when(ok, F.sha1("html")).alias("content_hash"), H.title_of(F.col("html")).alias("title"), H.links_of(F.col("url"), F.col("html")).alias("outlinks"),
     )
 
 
