@@ -109,8 +109,9 @@ def test_store_commits_once(spark, tmp_path):
     assert store.commit({"t": one}, {"h": one}, batch=0)
     assert not store.commit({"t": two}, {"h": two}, batch=0)
     assert store.commit({"t": two}, {"h": two}, batch=1)
+    assert store.commit(append={"h": one}, batch=0, stream="another") and not store.commit(append={"h": one}, batch=0, stream="another")
     assert [r[0] for r in store.read("t").collect()] == [2]
-    assert sorted(r[0] for r in store.read("h").collect()) == [1, 2]
+    assert sorted(r[0] for r in store.read("h").collect()) == [1, 1, 2]
 
 
 def test_selection_guards(spark):
@@ -141,3 +142,25 @@ def test_sweeps_by_bytes_and_characters(spark):
 def test_fail_reasons(spark):
     rows = spark.createDataFrame([(404, None, None, None), (None, "IgnoreRequest", "robots", None), (None, "IgnoreRequest", "9 bytes exceeded DOWNLOAD_MAXSIZE 8", None), (None, "TimeoutError", "exceeded", None), (200, None, None, "image/png"), (200, None, None, "Text/HTML; x")], "s int, e string, m string, t string")
     assert [r[0] for r in rows.select(H.fail_reason(*map(F.col, "semt"))).collect()] == ["HttpError 404", "IgnoreRequest robots", "IgnoreRequest exceeded DOWNLOAD_MAXSIZE", "TimeoutError", "NonHTML content-type", None]
+
+
+def test_settings_and_schedule(tmp_path):
+    (tmp_path / "a.yaml").write_text("a:\n  b: [1, 2]\n")
+    (tmp_path / "b.yaml").write_text("")
+    assert records.require(records.load_settings(str(tmp_path / "a.yaml")), "a", "b") == [1, 2] and records.load_settings(str(tmp_path / "b.yaml")) == {}
+
+
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    """Batches of a second checkpoint start at 0 again and are folded; a batch that is run again is not."""
+    from weblattice.streaming import ingest as streaming
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    for part, checkpoint in (("one", "a"), ("two", "b"), ("two", "b")):
+        folder = tmp_path / part
+        folder.mkdir(exist_ok=True)
+        (folder / "x.json").write_text(json.dumps({"seq": 1, "batch_no": 1, "kind": 1, "ts": "2024-01-01T00:00:00Z", "url": f"http://{part}/", "domain_id": 1, "status": "ok", "content_hash": "h"}) + "\n")
+        streaming.run(streaming.source(spark, f"file://{folder}"), store, f"file://{tmp_path}/{checkpoint}").awaitTermination()
+    assert {r["url"]: r["num_fetch_ok_90d"] for r in store.read("url_state_current").collect()} == {"http://one/": 1, "http://two/": 1}
+    (tmp_path / "two" / "late.json").write_text(json.dumps({"seq": 0, "batch_no": 0, "kind": 1, "ts": "2023-12-01T00:00:00Z", "url": "http://late/", "domain_id": 1, "status": "fail"}) + "\n")
+    streaming.run(streaming.source(spark, f"file://{tmp_path}/two"), store, f"file://{tmp_path}/b").awaitTermination()
+    assert store.read("url_state_current").where("url = 'http://late/'").count() == 1  # late files are read

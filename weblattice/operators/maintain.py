@@ -100,6 +100,65 @@ def apply_golden(plan: DataFrame, current: DataFrame, source: int = 1) -> DataFr
     return rows.unionByName(plan.where("action = 'inject'").select("url", F.lit(source).cast("int").alias("source")), allowMissingColumns=True)
 
 
+def top_hosts(counts: DataFrame, n: int) -> DataFrame:
+    """The hosts with most fetched URLs, with the sum of all hosts; ties by host."""
+    total = counts.agg(F.sum("fetched").alias("total"), F.count("*").alias("hosts"))  # one row
+    return counts.orderBy(F.desc("fetched"), "host").limit(n).crossJoin(F.broadcast(total))
+
+
+def apply_move(tables: dict[str, DataFrame], moving: DataFrame, additive: bool = True, new_ids: bool = True, drop_domains: bool = False) -> dict[str, DataFrame]:
+    """The tables after their rows of some domains have moved; ``moving`` has domain_id, new_domain_id and new_shard, once for each domain.
+
+    current: url, domain_id, shard_id and more; a row that is at the destination already wins. history: url, domain_id, shard_id, snapshot_id and more; rows get the next
+    ids of their new shard (``new_ids``) or keep theirs. events: url, event_date, shard_id, counters and accounted, which go with their URLs, and are added to
+    those at the destination (``additive``) or give way to them. domains: domain_id, shard_id and more; a domain that has moved has its new shard, or is gone (``drop_domains``).
+    """
+    to = moving.select(F.col("domain_id").alias("m_from"), F.col("new_domain_id").alias("m_to"), F.col("new_shard").alias("m_shard"))
+    moved = F.col("m_from").isNotNull()
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(to, F.col("domain_id") == F.col("m_from"), "left").withColumn("m_moved", moved)
+        return rows.withColumn("domain_id", F.when(moved, F.col("m_to")).otherwise(F.col("domain_id"))).withColumn("shard_id", F.when(moved, F.col("m_shard")).otherwise(F.col("shard_id"))).drop("m_from", "m_to", "m_shard")
+
+    out = {}
+    here = Window.partitionBy("shard_id", "url").orderBy("m_moved", "m_old")
+    arrived = placed(tables["current"].withColumn("m_old", F.col("domain_id")))
+    out["current"] = arrived.withColumn("m_k", F.row_number().over(here)).where("m_k = 1").drop("m_k", "m_old", "m_moved")
+
+    history = placed(tables["history"])
+    if new_ids:
+        last = tables["history"].groupBy(F.col("shard_id").alias("l_shard")).agg(F.max("snapshot_id").alias("l_last"))
+        came = history.where("m_moved").join(last, F.col("shard_id") == F.col("l_shard"), "left")
+        order = Window.partitionBy("shard_id").orderBy("snapshot_id", "url")
+        came = came.withColumn("snapshot_id", F.coalesce("l_last", F.lit(0)) + F.row_number().over(order)).drop("l_shard", "l_last")
+        history = history.where("NOT m_moved").unionByName(came)
+    out["history"] = history.drop("m_moved")
+
+    urls = tables["current"].join(to, F.col("domain_id") == F.col("m_from")).select(F.col("url").alias("m_url"), F.col("shard_id").alias("m_at"), "m_shard").distinct()
+    same = (F.col("url") == F.col("m_url")) & (F.col("shard_id") == F.col("m_at"))
+    goes = tables["events"].join(urls, same).withColumn("shard_id", F.col("m_shard")).drop("m_url", "m_at", "m_shard")
+    stays = tables["events"].join(urls, same, "left_anti")
+    if additive:
+        both = stays.unionByName(goes).groupBy("shard_id", "url", "event_date")
+        out["events"] = both.agg(*[F.sum(c).alias(c) for c in ("num_scheduled", "num_fetch_ok", "num_fetch_fail", "num_content_update")], F.max("accounted").alias("accounted"))
+    else:
+        out["events"] = stays.unionByName(goes.join(stays.select("shard_id", "url", "event_date"), ["shard_id", "url", "event_date"], "left_anti").select(*stays.columns))
+
+    domains = tables["domains"].join(to, F.col("domain_id") == F.col("m_from"), "left")
+    domains = domains.where(~moved) if drop_domains else domains.withColumn("shard_id", F.when(moved, F.col("m_shard")).otherwise(F.col("shard_id")))
+    out["domains"] = domains.drop("m_from", "m_to", "m_shard")
+    return out
+
+
+def move_counts(tables: dict[str, DataFrame], moving: DataFrame) -> DataFrame:
+    """What a move would take along, as a dry run says: table and rows."""
+    of = moving.select("domain_id").distinct()
+    urls = tables["current"].join(of, "domain_id", "left_semi").select("url", "shard_id").distinct()
+    taken = {"current": tables["current"].join(of, "domain_id", "left_semi"), "history": tables["history"].join(of, "domain_id", "left_semi"), "event": tables["events"].join(urls, ["url", "shard_id"], "left_semi")}
+    parts = [rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name, rows in taken.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def add_column(rows: DataFrame, name: str, kind: str, default: object = None) -> DataFrame:
     """rows with a further column, unless they have it; nulls take the default."""
     value = F.lit(default).cast(kind)

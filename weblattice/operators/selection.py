@@ -73,6 +73,16 @@ def pop(queue: DataFrame, limit: int, exclude: list[int] = ()) -> DataFrame:
     return rows.where(F.size("urls") > 0)
 
 
+def pop_and_rest(queue: DataFrame, limit: int, exclude: list[int] = ()) -> tuple[DataFrame, DataFrame]:
+    """What ``pop`` takes, and the queue afterwards: files that were read are gone, also the empty ones; a file without a list (urls null) cannot be read and stays."""
+    rows = queue.where(F.col("urls").isNotNull())
+    rows = rows.where(~F.col("domain_id").isin(list(exclude))) if exclude else rows
+    rows = rows.orderBy("enqueued_at", "domain_id")
+    read = rows.limit(limit) if limit > 0 else rows
+    rest = queue.join(read.select(F.col("domain_id").alias("read_id"), F.col("enqueued_at").alias("read_at")), (F.col("domain_id") == F.col("read_id")) & F.col("enqueued_at").eqNullSafe(F.col("read_at")), "left_anti")
+    return read.where(F.size("urls") > 0), rest
+
+
 def rolloff(events: DataFrame, current: DataFrame, as_of: dt.date, days: int = 90, batch: int = 1000) -> dict[str, DataFrame]:
     """Subtract the counts of accounted events that are ``days`` old from their URLs, in batches of each shard.
 

@@ -105,3 +105,24 @@ def lag(events: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
 
 def retained(events: DataFrame, now: Column, hours: int = 720) -> DataFrame:
     return events.where(F.col("ts") >= now - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def request_latency(starts: DataFrame, ends: DataFrame, request: str = "request") -> DataFrame:
+    """Ends with their latency in whole milliseconds since the start of the same request; 0 where no start is known."""
+    began = starts.groupBy(F.col(request).alias("started_request")).agg(F.max("ts").alias("started"))
+    joined = ends.join(began, F.col(request) == F.col("started_request"), "left")
+    millis = F.floor((F.unix_micros("ts") - F.unix_micros(F.coalesce("started", "ts"))) / 1000).cast("long")
+    return joined.withColumn("latency_ms", millis).drop("started", "started_request")
+
+
+def offer_counters(picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an offer adds to the statistics: num_scheduled of all, and by domain."""
+    count = F.count("*").alias("num_scheduled")
+    return picked.agg(count).where("num_scheduled > 0"), picked.groupBy("domain_id").agg(count)
+
+
+def average_lag(events: DataFrame, now: Column, width: str, minutes: int = 10) -> DataFrame:
+    """Average minutes, by worker and step, between an event and the start of the bucket that the worker had then reached."""
+    bucket = F.window("ts", f"{minutes} minutes")["start"]
+    rows = events.where(F.col("ts") <= now).select("worker_id", F.window("ts", width)["start"].alias("step_at"), ((F.unix_micros("ts") - F.unix_micros(bucket)) / 60e6).alias("lag"))
+    return rows.groupBy("step_at", "worker_id").agg(F.round(F.avg("lag"), 6).alias("lag_minutes"))

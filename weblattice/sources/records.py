@@ -43,6 +43,41 @@ def ready_records(rows: DataFrame, path: Column, now: Column, after: Column | No
     return rows.withColumn("bucket", bucket).where(fit if after is None else fit & (F.col("bucket") > after))
 
 
+def ready_folders(folders: DataFrame, now: Column, after: Column | None = None, minutes: int = 10) -> DataFrame:
+    """Folders (bucket) later than the progress mark, up to the first that is not ready."""
+    late = folders.where("bucket IS NOT NULL" if after is None else F.col("bucket") > after)
+    stop = late.where(now < F.col("bucket") + F.expr(f"INTERVAL {2 * minutes} MINUTES")).agg(F.min("bucket").alias("stop"))  # one row
+    return late.crossJoin(F.broadcast(stop)).where("stop IS NULL OR bucket < stop").drop("stop")
+
+
+def folder_counters(good: DataFrame, bad: DataFrame, folder: str = "folder", file: str = "file") -> DataFrame:
+    """Files and records that failed, by folder."""
+    every = good.select(folder, file, F.lit(0).alias("failed")).unionByName(bad.select(folder, file, F.lit(1).alias("failed")))
+    return every.groupBy(folder).agg(F.count_distinct(file).alias("file_cnt"), F.sum("failed").alias("error"))
+
+
+def error_delta(bad: DataFrame, source: str, counter: str, now: Column) -> DataFrame:
+    """The stats delta of records that could not be used: each counts as an error, and as one of that kind; no row if there is none."""
+    n = bad.agg(F.count("*").alias("n")).where("n > 0")
+    counters = F.create_map(F.lit("error_count"), F.col("n").cast("string"), F.lit(counter), F.col("n").cast("string"))
+    return n.select(now.alias("generated_at"), F.lit(source).alias("source"), counters.alias("counters"), F.create_map().cast("map<string,map<string,string>>").alias("domains"))
+
+
+def write_deltas(deltas: DataFrame, path: str, by: str) -> None:
+    """One JSON file for each value of ``by``, in whole seconds."""
+    rows = deltas.withColumn("generated_at", F.date_trunc("second", "generated_at"))
+    rows.repartition(by).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").partitionBy(by).json(path)
+
+
+LOG_LINE = "ts timestamp, level string, logger string, message string, event string, service string, worker_id int, shard int, url string, domain string, status int, latency_ms long, fail_reason string"
+
+
+def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Log lines as columns, the labels among them; lines that do not parse are dropped."""
+    rows = lines.select(F.from_json(line, f"{LOG_LINE}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    return rows.where(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
+
+
 def land(items: DataFrame, path: str, now: Column, minutes: int = 10) -> None:
     """Append fetched items as JSON lines by time bucket; status and fetch time are derived."""
     start = F.window(now.cast("timestamp"), f"{minutes} minutes")["start"]
@@ -56,6 +91,12 @@ def queue_ids(paths: DataFrame, column: str = "path") -> DataFrame:
     return paths.where(found != "").select(found.cast("long").alias("domain_id")).distinct()
 
 
+def queue_counts(paths: DataFrame, column: str = "path") -> DataFrame:
+    """One row: files that are ready (named for a domain) and their domains."""
+    ready = F.regexp_extract(column, r"(?:^|/)domain_(\d+)\.json$", 1)
+    return paths.agg(F.count_if(ready != "").alias("batches"), F.count_distinct(F.nullif(ready, F.lit("")).cast("long")).alias("domains"))
+
+
 def queue_name(domain_id: Column) -> Column:
     """Name of a domain's queue file."""
     return F.concat(F.lit("domain_"), F.when(F.length(domain_id.cast("string")) < 6, F.lpad(domain_id.cast("string"), 6, "0")).otherwise(domain_id.cast("string")), F.lit(".json"))

@@ -1,21 +1,24 @@
 """Tables that change together: versions in Parquet, and one manifest that names the version of each.
 
 A commit writes new folders for the tables that change, then puts a new manifest in place with a single rename. Readers see all of a
-commit or none of it. Each commit can carry a batch number; a number that was committed before is refused, so that a
-repeated micro-batch changes nothing. There is one writer.
+commit or none of it. Each commit can carry a stream's id and batch number; a number that this stream has committed before is refused, so that a
+repeated micro-batch changes nothing, while another stream (or a new checkpoint) counts for itself. There is one writer.
+
+Tables can be partitioned, by shard say; a reader that filters by that column reads only its folders.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, partition_by: Mapping[str, str] | None = None):
+        self.spark, self.path, self.partition_by = spark, path.rstrip("/"), dict(partition_by or {})
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -25,10 +28,10 @@ class Store:
         return sorted(int(x.getPath().getName()[9:-5]) for x in found or [])
 
     def manifest(self) -> dict:
-        """The newest manifest: version, batch and the folders of each table."""
+        """The newest manifest: version, the last batch of each stream and the folders of each table."""
         numbers = self._manifests()
         if not numbers:
-            return {"version": 0, "batch": None, "tables": {}}
+            return {"version": 0, "batches": {}, "tables": {}}
         text = self.spark.read.text(f"{self.path}/manifest-{numbers[-1]:012d}.json", wholetext=True).first()[0]
         return json.loads(text)
 
@@ -37,18 +40,21 @@ class Store:
         folders = self.manifest()["tables"].get(table)
         return self.spark.read.parquet(*folders) if folders else empty
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, batch: int | None = None) -> bool:
-        """Replace or extend tables in one step; False if that batch, or a later one, was committed before."""
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, batch: int | None = None, stream: str = "") -> bool:
+        """Replace or extend tables in one step; False if that stream has committed this batch, or a later one, before."""
         old = self.manifest()
-        if batch is not None and old["batch"] is not None and batch <= old["batch"]:
-            return False
+        batches = dict(old["batches"])
+        if batch is not None:
+            if batch <= batches.get(stream, -1):
+                return False
+            batches[stream] = batch
         tables = dict(old["tables"])
         for name, rows in (replace or {}).items():
             tables[name] = [self._write(name, rows)]
         for name, rows in (append or {}).items():
             tables[name] = [*tables.get(name, []), self._write(name, rows)]
         version = old["version"] + 1
-        text = json.dumps({"version": version, "batch": old["batch"] if batch is None else batch, "tables": tables})
+        text = json.dumps({"version": version, "batches": batches, "tables": tables})
         trying = self._path(f"{self.path}/.manifest-{uuid.uuid4().hex}")
         out = self._fs.create(trying, True)
         out.write(bytearray(text.encode()))
@@ -59,5 +65,6 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame) -> str:
         folder = f"{self.path}/{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
+        by = self.partition_by.get(name)
+        (rows.write.partitionBy(by) if by else rows.write).parquet(folder)
         return folder

@@ -1,16 +1,20 @@
 """Structured Streaming over record files: each micro-batch is folded into the store in one commit.
 
 Files that arrive late are still read (a folder reader with a progress mark would lose them); event-time windows drop
-what is older than the watermark. A micro-batch that is run again finds its number in the store and changes nothing.
+what is older than the watermark. A micro-batch that is run again finds its number, kept under its stream's id, in the store and changes nothing.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weblattice.operators import ingest
+from weblattice.operators import ingest, stats
+from weblattice.sources import records as files
 from weblattice.sources.store import Store
 
 RECORD = "seq long, batch_no long, kind int, ts timestamp, day date, domain_id long, shard_id int, url string, status string, fail_reason string, content_hash string, title string, discovered_from string, domain_score double"
@@ -22,7 +26,7 @@ def source(spark: SparkSession, path: str, schema: str = RECORD, files_per_batch
     return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def fold_batch(store: Store, rows: DataFrame, batch: int) -> bool:
+def fold_batch(store: Store, rows: DataFrame, batch: int, stream: str = "") -> bool:
     """Fold one micro-batch: current and event counters are replaced, history is extended, all in one commit."""
     spark = rows.sparkSession
     current = store.read("url_state_current", ingest.no_state(spark))
@@ -30,14 +34,40 @@ def fold_batch(store: Store, rows: DataFrame, batch: int) -> bool:
     try:
         added = ingest.event_counters(folded, F.to_date("ts"))
         counters = store.read("url_event_counter", spark.createDataFrame([], _COUNTER))
-        return store.commit({"url_state_current": ingest.apply_fold(folded, current), "url_event_counter": ingest.merge_counters(counters, added)}, {"url_state_history": folded}, batch)
+        return store.commit({"url_state_current": ingest.apply_fold(folded, current), "url_event_counter": ingest.merge_counters(counters, added)}, {"url_state_history": folded}, batch, stream)
     finally:
         folded.unpersist()
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that has this checkpoint; a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
+def start(records: DataFrame, apply: Callable[[DataFrame, int, str], object], checkpoint: str) -> StreamingQuery:
+    """Start ``apply`` (rows, batch, stream id) on all files there are; the checkpoint is the progress mark."""
+
+    def step(rows: DataFrame, batch: int) -> None:
+        apply(rows, batch, _stream_id(rows.sparkSession, checkpoint))
+
+    return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run(records: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Start folding all files there are; the checkpoint is the progress mark."""
-    return records.writeStream.foreachBatch(lambda rows, batch: fold_batch(store, rows, batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start folding all files there are into the store."""
+    return start(records, lambda rows, batch, stream: fold_batch(store, rows, batch, stream), checkpoint)
+
+
+def apply_deltas(store: Store, rows: DataFrame, batch: int, stream: str = "") -> bool:
+    """Add a batch of stats deltas to the daily summary, in one commit."""
+    added = stats.summary_daily(files.long_deltas(rows).where("scope = 'all'"), ["day"])
+    stored = store.read("summary_daily")
+    return store.commit({"summary_daily": added if stored is None else stats.merge_summary(stored, added, ["day"])}, batch=batch, stream=stream)
+
+
+def delta_source(spark: SparkSession, path: str, files_per_batch: int = 10) -> DataFrame:
+    """Stats delta files, ten a pass."""
+    return source(spark, path, files.STATS_DELTA, files_per_batch)
 
 
 def windowed_counts(records: DataFrame, width: str = "10 minutes", late: str = "20 minutes") -> DataFrame:
