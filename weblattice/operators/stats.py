@@ -124,5 +124,5 @@ def offer_counters(picked: DataFrame) -> tuple[DataFrame, DataFrame]:
 def average_lag(events: DataFrame, now: Column, width: str, minutes: int = 10) -> DataFrame:
     """Average minutes, by worker and step, between an event and the start of the bucket that the worker had then reached."""
     bucket = F.window("ts", f"{minutes} minutes")["start"]
-    rows = events.where(F.col("ts") <= now).select("worker_id", F.window("ts", width)["start"].alias("step_at"), ((F.unix_micros("ts") - F.unix_micros(bucket)) / 60e6).alias("lag"))
-    return rows.groupBy("step_at", "worker_id").agg(F.round(F.avg("lag"), 6).alias("lag_minutes"))
+    rows = events.where(F.col("ts") <= now).select("worker_id", "ts", ((F.unix_micros("ts") - F.unix_micros(bucket)) / 60e6).alias("lag"))
+    return rows.groupBy(F.window("ts", width)["start"].alias("step_at"), "worker_id").agg(F.round(F.avg("lag"), 6).alias("lag_minutes"))

@@ -173,14 +173,14 @@ def all_oracles() -> dict[str, str]:
         "ingest_snapshots": FOLDS + " SELECT CAST(domain_id % 16 AS INT) AS shard_id, (row_number() OVER (PARTITION BY domain_id % 16 ORDER BY batch_no, kind, seq) + CASE WHEN domain_id % 16 < 8 THEN 1000 * (domain_id % 16) ELSE 0 END)::BIGINT AS snapshot_id, url, seq FROM f1",
         "ingest_outcomes": FOLDS + " SELECT domain_id, sum(inserted::INT)::BIGINT AS new_links, sum(is_ok::INT)::BIGINT AS num_fetch_ok, sum((kind = 1 AND NOT is_ok)::INT)::BIGINT AS num_fetch_fail, sum(is_upd::INT)::BIGINT AS num_content_update FROM f1 GROUP BY domain_id",
         "event_counter_daily": f"WITH {COUNTERS} SELECT * FROM counters",
-        "event_counter_merge": f"WITH {COUNTERS}, both_sides AS (SELECT url, event_date, num_scheduled, num_fetch_ok, num_fetch_fail, num_content_update, day(event_date) % 4 <> 0 AS accounted FROM counters WHERE day(event_date) % 2 = 0 UNION ALL SELECT url, event_date, 1, 0, 0, 0, true FROM counters WHERE day(event_date) % 3 = 0) SELECT url, event_date, {', '.join(f'sum({c})::BIGINT AS {c}' for c in _C)}, bool_or(accounted) AS accounted FROM both_sides GROUP BY url, event_date",
+        "event_counter_merge": f"WITH {COUNTERS}, both_sides AS (SELECT url, event_date, num_scheduled, num_fetch_ok, num_fetch_fail, num_content_update, day(event_date) % 4 <> 0 AS accounted FROM counters WHERE event_date < DATE '2024-01-16' UNION ALL SELECT url, event_date, 1, 0, 0, 0, true FROM counters) SELECT url, event_date, {', '.join(f'sum({c})::BIGINT AS {c}' for c in _C)}, bool_or(accounted) AS accounted FROM both_sides GROUP BY url, event_date",
         "content_feature_current": FEATURES + " SELECT url, arg_min(domain_id, seq) AS domain_id, arg_max(fetched_at, seq) AS fetched_at, arg_max(content_length, seq) AS content_length, arg_max_null(content_hash, seq) AS content_hash, arg_max(num_links, seq) AS num_links FROM feat GROUP BY url",
         "content_feature_history": FEATURES + " SELECT * FROM feat",
         "select_topk_by_domain": f"WITH {FRONTIER}, {_pick(3, 40)} SELECT * FROM picked",
         "select_with_exclusions": f"WITH {FRONTIER}, {_pick(2, 25, 'domain_id % 5 <> 0')} SELECT * FROM picked",
         "schedule_update": f"WITH {FRONTIER}, {_pick(3, 40)} SELECT f.url, f.domain_id, f.should_crawl AND p.url IS NULL AS should_crawl, CASE WHEN p.url IS NOT NULL THEN {NOW} ELSE f.last_scheduled END AS last_scheduled, (f.num_scheduled_90d + (p.url IS NOT NULL)::INT)::BIGINT AS num_scheduled_90d FROM frontier f LEFT JOIN picked p ON p.url = f.url",
         "queue_pop": f"WITH {QUEUE}, p AS (SELECT * FROM q WHERE domain_id NOT IN (3, 7, 11) ORDER BY enqueued_at, domain_id LIMIT 30) SELECT domain_id, unnest(range(0, len(urls)))::INT AS position, unnest(urls) AS url FROM p WHERE len(urls) > 0",
-        "queue_upsert": f"WITH {QUEUE}, {_pick(2, 60)}, n AS (SELECT domain_id, {NOW} AS enqueued_at, list(url ORDER BY rank) AS urls FROM picked GROUP BY domain_id), u AS (SELECT * FROM q WHERE domain_id < 30 AND domain_id NOT IN (SELECT domain_id FROM n) UNION ALL SELECT * FROM n) SELECT domain_id, enqueued_at, coalesce(array_to_string(urls, ' '), '') AS urls FROM u",
+        "queue_upsert": f"WITH {QUEUE}, {_pick(2, 60)}, n AS (SELECT domain_id, {NOW} AS enqueued_at, list(url ORDER BY rank) AS urls FROM picked GROUP BY domain_id), u AS (SELECT * FROM q WHERE domain_id NOT IN (SELECT domain_id FROM n) UNION ALL SELECT * FROM n) SELECT domain_id, enqueued_at, coalesce(array_to_string(urls, ' '), '') AS urls FROM u",
         "refill_decision": f"WITH {QUEUE}, n AS (SELECT count(DISTINCT domain_id) AS queued FROM q), c(most, low, filled) AS (VALUES (200, 120, 1), (200, 500, 1), (100, 160, 1), (200, 120, 0)), z AS (SELECT queued * filled AS queued, most, low FROM c, n) SELECT queued, CASE WHEN queued >= low THEN 'noop' WHEN queued = 0 THEN 'refill_empty' ELSE 'refill' END AS action, CASE WHEN queued >= low THEN 0 ELSE greatest(0, most - queued) END::BIGINT AS slots, most, low FROM z",
         "rolloff_counters": f"WITH {ROLLED}, t AS (SELECT url, {', '.join(f'sum({c}) AS {c}' for c in _C)} FROM per GROUP BY url) SELECT cur.url, {', '.join(f'greatest(0, {c}_90d - coalesce({c}, 0))::BIGINT AS {c}_90d' for c in _C)} FROM cur LEFT JOIN t ON t.url = cur.url",
         "rolloff_history": f"WITH {ROLLED} SELECT * FROM hist",
@@ -216,11 +216,14 @@ a AS (SELECT *, CASE WHEN length(url) > 2500 OR domain IS NULL THEN 'failed' WHE
         "shard_split_plan": f"WITH {RESULTS}, a AS (SELECT seq, url, {key('host')} AS k0, {key('host', moving)} AS k1 FROM crawl_result), b AS (SELECT seq, url, {shard('k0')} AS shard_id, {shard('k1')} AS new_shard FROM a) SELECT * FROM b WHERE shard_id <> new_shard",
         "unsplit_plan": f"WITH {DOMAINS}, a AS (SELECT seq, domain, shard_id, {registered('domain')} AS p FROM hd WHERE domain LIKE '%.example.net' AND domain <> 'example.net' AND domain <> 'www.example.net'), b AS (SELECT seq, domain, shard_id, {shard('p')} AS new_shard FROM a) SELECT * FROM b WHERE shard_id <> new_shard",
         "parent_reshard_plan": f"WITH {RESULTS}, a AS (SELECT seq, url, {key('host')} AS k FROM crawl_result), b AS (SELECT seq, url, {shard('k')} AS shard_id, {shard('k', 256, PINNED)} AS new_shard FROM a) SELECT * FROM b WHERE shard_id <> new_shard",
-        "prefer_destination": f"WITH {FRONTIER} SELECT url, domain_id, num_scheduled_90d FROM frontier WHERE domain_id % 3 <> 0 UNION ALL SELECT url, domain_id, 0 FROM frontier WHERE domain_id % 2 = 0 AND domain_id % 3 = 0",
+        "prefer_destination": f"WITH {FRONTIER} SELECT url, domain_id, CASE WHEN first_seen < {SPLIT} THEN num_scheduled_90d ELSE 0 END AS num_scheduled_90d FROM frontier",
         "snapshot_resync": f"WITH {LOG}, t AS (SELECT shard_id, max(seq) AS max_id FROM fetch_log GROUP BY shard_id), s AS (SELECT *, CASE WHEN shard_id % 2 = 0 THEN 10 ELSE 100000000 END::BIGINT AS last_value FROM t) SELECT * FROM s WHERE max_id > last_value",
         "url_link_edges": f"WITH {RESULTS}, {LINKS} SELECT page AS src_url, url AS dst_url, md5(anchor) AS anchor_hash, min(anchor) AS anchor_text, min(seq) AS first_seen, max(seq) AS last_seen FROM links GROUP BY page, url, md5(anchor)",
         "outlinks_rewritten": _seen_and_known() + f", {LINKS}, b AS (SELECT l.*, known.domain_id FROM (SELECT *, {host('url')} AS h FROM links) l LEFT JOIN known ON known.domain = l.h) SELECT seq, count(*) AS num_links, string_agg(url || '|' || coalesce(domain_id::VARCHAR, '-') || '|' || anchor, chr(10) ORDER BY position) AS outlinks FROM b GROUP BY seq",
         "qps_policy": f"WITH {RESULTS}, h AS (SELECT DISTINCT host FROM crawl_result) SELECT host, CASE WHEN starts_with(host, 'blog.') THEN 1.5 ELSE 5.0 END::DOUBLE AS delay, CASE WHEN starts_with(host, 'blog.') THEN 2 ELSE 4 END AS concurrency FROM h",
+        "canonicalize_urls": """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[^/]*//[^/?#]*')) AS origin, regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^#?]*[?]([^#]*)', 1) AS query FROM pages)
+  SELECT page_id, origin || CASE WHEN path = '' THEN '/' ELSE array_to_string(list_transform(string_split(path, '/'), lambda x: replace(url_encode(x), '%2C', ',')), '/') END || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS url FROM p""",
+        "parse_pages": f"WITH {RESULTS}, {LINKS}, n AS (SELECT seq, count(*) AS n FROM links GROUP BY seq) SELECT url, title, coalesce(n, 0)::INT AS num_links FROM crawl_result LEFT JOIN n USING (seq)",
         "dns_names": f"WITH {RESULTS}, m AS (SELECT CASE WHEN seq % 10 = 0 THEN host || '_x' ELSE host END AS name FROM crawl_result), n AS (SELECT name FROM m UNION ALL SELECT regexp_extract(name, '^[^.]*') FROM m UNION ALL SELECT repeat(substr(name, 1, 1), 70) FROM m) SELECT regexp_full_match(name, '{DNS_NAME}') AS valid, count(*) AS n, count(DISTINCT name) AS names FROM n GROUP BY ALL",
         "fail_reasons": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'HttpError ' || (400 + user_id % 5) WHEN event_id % 7 = 2 THEN 'IgnoreRequest exceeded DOWNLOAD_MAXSIZE' WHEN event_id % 7 = 3 THEN 'IgnoreRequest Forbidden by robots.txt'
   WHEN event_id % 7 = 4 THEN 'TimeoutError' WHEN event_id % 5 NOT IN (0, 1) THEN 'NonHTML content-type' END AS fail_reason FROM events""",

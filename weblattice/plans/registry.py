@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weblattice.functions import html as H
 from weblattice.functions import keys as K
 from weblattice.operators import ingest, maintain, routing, selection, stats
-from weblattice.plans import oracles
+from weblattice.plans import oracles, service
 from weblattice.sources import derive
 from weblattice.sources.records import MICROS
 from weblattice.sources.scratch import cut, fresh
@@ -130,8 +130,8 @@ def event_counter_daily(spark, sf_dir):
 
 def event_counter_merge(spark, sf_dir):
     counters = _counters(spark, sf_dir)
-    stored = counters.where("day(event_date) % 2 = 0").withColumn("accounted", F.day("event_date") % 4 != 0)
-    offered = counters.where("day(event_date) % 3 = 0").select("url", "event_date", F.lit(1).cast("long").alias("num_scheduled"), *[F.lit(0).cast("long").alias(c) for c in ("num_fetch_ok", "num_fetch_fail", "num_content_update")], F.lit(True).alias("accounted"))
+    stored = counters.where(F.col("event_date") < F.lit(derive.SPLIT_AT).cast("date")).withColumn("accounted", F.day("event_date") % 4 != 0)
+    offered = counters.select("url", "event_date", F.lit(1).cast("long").alias("num_scheduled"), *[F.lit(0).cast("long").alias(c) for c in ("num_fetch_ok", "num_fetch_fail", "num_content_update")], F.lit(True).alias("accounted"))
     return ingest.merge_counters(stored, offered, accounted_by_add=True)
 
 
@@ -171,8 +171,7 @@ def queue_pop(spark, sf_dir):
 
 
 def queue_upsert(spark, sf_dir):
-    queue = _queue(spark, sf_dir).where("domain_id < 30")
-    after = selection.enqueue(queue, selection.select_by_domain(derive.frontier(spark, sf_dir), 2, 60), _now())
+    after = selection.enqueue(_queue(spark, sf_dir), selection.select_by_domain(derive.frontier(spark, sf_dir), 2, 60), _now())
     return after.select("domain_id", "enqueued_at", F.array_join("urls", " ").alias("urls"))
 
 
@@ -367,8 +366,10 @@ def parent_reshard_plan(spark, sf_dir):
 
 
 def prefer_destination(spark, sf_dir):
-    urls = derive.frontier(spark, sf_dir).select("url", "domain_id", "num_scheduled_90d")
-    return maintain.prefer_destination(urls.where("domain_id % 3 <> 0"), urls.where("domain_id % 2 = 0").withColumn("num_scheduled_90d", F.lit(0).cast("long")))
+    """URLs seen early are there already; all arrive."""
+    urls = derive.frontier(spark, sf_dir)
+    names = ("url", "domain_id", "num_scheduled_90d")
+    return maintain.prefer_destination(urls.where(F.col("first_seen") < F.lit(derive.SPLIT_AT).cast("timestamp")).select(*names), urls.withColumn("num_scheduled_90d", F.lit(0).cast("long")).select(*names))
 
 
 def snapshot_resync(spark, sf_dir):
@@ -460,8 +461,8 @@ QUERIES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, *service.QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_oracles()
+    return oracles.all_oracles() | service.SQL
