@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblattice.functions.keys import MAX_URL
+from weblattice.operators.numbering import numbered
 
 STATE = [
     "url", "domain_id", "first_seen", "last_scheduled", "last_fetch_ok", "last_content_update", "num_scheduled_90d", "num_fetch_ok_90d", "num_fetch_fail_90d", "num_content_update_90d",
@@ -97,7 +98,7 @@ def merge_counters(stored: DataFrame, added: DataFrame, accounted_by_add: bool =
 
 def snapshot_ids(history: DataFrame, order: list[str], start: DataFrame | None = None) -> DataFrame:
     """history with a snapshot_id per shard, after the largest one in ``start`` (shard_id, last)."""
-    numbered = history.withColumn("snapshot_id", F.row_number().over(Window.partitionBy("shard_id").orderBy(*order)).cast("long"))
+    rows = numbered(history, "shard_id", order, "snapshot_id")
     if start is None:
-        return numbered
-    return numbered.join(start, "shard_id", "left").withColumn("snapshot_id", F.col("snapshot_id") + F.coalesce("last", F.lit(0))).drop("last")
+        return rows
+    return rows.join(start, "shard_id", "left").withColumn("snapshot_id", F.col("snapshot_id") + F.coalesce("last", F.lit(0))).drop("last")

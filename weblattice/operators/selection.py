@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weblattice.operators.numbering import numbered
+
 #: Order in which a domain's URLs are offered; the URL breaks ties.
 OFFER_ORDER = [F.desc_nulls_last, F.desc_nulls_last, F.asc_nulls_first, F.asc_nulls_last, F.asc]
 OFFER_KEYS = ["url_score", "domain_score", "last_scheduled", "first_seen", "url"]
@@ -91,9 +93,8 @@ def rolloff(events: DataFrame, current: DataFrame, as_of: dt.date, days: int = 9
     """
     cutoff = F.date_sub(F.lit(as_of), days)
     due = F.col("accounted") & (F.col("event_date") <= cutoff)
-    order = Window.partitionBy("shard_id").orderBy("event_date", "url")
     counts = ["num_scheduled", "num_fetch_ok", "num_fetch_fail", "num_content_update"]
-    picked = events.where(due).withColumn("batch_no", F.floor((F.row_number().over(order) - 1) / batch).cast("long"))
+    picked = numbered(events.where(due), "shard_id", ["event_date", "url"], "n_th").withColumn("batch_no", F.floor((F.col("n_th") - 1) / batch).cast("long")).drop("n_th")
     picked = picked.join(current.select("url", F.lit(False).alias("_known")), "url", "left").withColumn("missing", F.col("_known").isNull()).drop("_known")
     per_batch = picked.where("NOT missing").groupBy("url", "batch_no").agg(*[F.sum(c).alias(c) for c in counts])
     running = Window.partitionBy("url").orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)

@@ -189,6 +189,7 @@ def refill_decision(spark, sf_dir):
 def _rolled(spark, sf_dir):
     events = _counters(spark, sf_dir).withColumn("num_scheduled", F.lit(1).cast("long"))
     events = events.withColumn("shard_id", (F.expr("CAST(regexp_extract(url, 'd([0-9]+)', 1) AS BIGINT)") % 4).cast("int")).withColumn("accounted", F.day("event_date") != 5)
+    events = cut(events, "events")  # the counters, and the fold behind them, are made once
     counts = ["num_scheduled", "num_fetch_ok", "num_fetch_fail", "num_content_update"]
     domain = F.expr("CAST(regexp_extract(url, 'd([0-9]+)', 1) AS BIGINT)")
     current = events.where(domain % 7 != 0).groupBy("url").agg(*[F.floor(F.sum(c) * 2 / 3).cast("long").alias(f"{c}_90d") for c in counts])
