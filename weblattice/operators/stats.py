@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,16 +73,30 @@ def gauges(events: DataFrame, width: str, names: list[str] = GAUGES) -> DataFram
     return events.where("event = 'spider.heartbeat'").groupBy(F.window("ts", width)["start"].alias("step_at"), "worker_id").agg(*[F.avg(g).alias(g) for g in names])
 
 
+def _so_far(rows: DataFrame, by: str, values: list[str], fold: Callable[[str], Column]) -> DataFrame:
+    """``fold`` (sum or max) of each value over the rows of one ``by`` so far, in order of ts and seq: seq, by and the values.
+
+    Two levels, so that a frequent key is split by hour: totals of each key and hour are folded in order of hours, and each hour
+    begins with one row that carries what came before. Rows without a key are a group of their own, rows without a time come first.
+    """
+    hours = rows.select("seq", by, "ts", F.date_trunc("hour", "ts").alias("_hour"), F.lit(False).alias("_carry"), *values)
+    totals = hours.groupBy(by, "_hour").agg(*[fold(v).alias(v) for v in values])
+    before = Window.partitionBy(by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(by, "_hour", F.lit(True).alias("_carry"), *[fold(v).over(before).alias(v) for v in values])
+    run = Window.partitionBy(by, "_hour").orderBy(F.desc("_carry"), "ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    both = hours.unionByName(carry, allowMissingColumns=True)
+    return both.select("seq", by, "_carry", *[fold(v).over(run).alias(v) for v in values]).where(~F.col("_carry")).drop("_carry")
+
+
 def running_max(events: DataFrame, names: list[str] = GAUGES) -> DataFrame:
-    run = Window.partitionBy("worker_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.where("event = 'spider.heartbeat'").select("seq", "worker_id", *[F.max(g).over(run).alias(f"{g}_max") for g in names])
+    beats = events.where("event = 'spider.heartbeat'").select("seq", "worker_id", "ts", *[F.col(g).alias(f"{g}_max") for g in names])
+    return _so_far(beats, "worker_id", [f"{g}_max" for g in names], F.max)
 
 
 def pending(events: DataFrame) -> DataFrame:
     """Running number of requests that wait, by domain: scheduled adds one, an end or a failure takes one off."""
     change = F.when(F.col("event") == "request.scheduled", 1).when(F.col("event").isin("request.end", "request.fail"), -1).otherwise(0)
-    run = Window.partitionBy("domain").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("change", change).where("change <> 0").select("seq", "domain", F.sum("change").over(run).alias("pending"))
+    return _so_far(events.select("seq", "domain", "ts", change.alias("pending")).where("pending <> 0"), "domain", ["pending"], F.sum)
 
 
 def normalise_error(text: Column) -> Column:
