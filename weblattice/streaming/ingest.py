@@ -15,10 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weblattice.operators import ingest, stats
 from weblattice.sources import records as files
-from weblattice.sources.store import Store
+from weblattice.sources.store import Rule, Store
 
 RECORD = "seq long, batch_no long, kind int, ts timestamp, day date, domain_id long, shard_id int, url string, status string, fail_reason string, content_hash string, title string, discovered_from string, domain_score double"
-_COUNTER = "url string, event_date date, num_scheduled long, num_fetch_ok long, num_fetch_fail long, num_content_update long, accounted boolean"
+CURRENT = Rule(["url"])
+COUNTER = Rule(["url", "event_date"], sum=["num_scheduled", "num_fetch_ok", "num_fetch_fail", "num_content_update"], first=["accounted"])
 
 
 def source(spark: SparkSession, path: str, schema: str = RECORD, files_per_batch: int = 10) -> DataFrame:
@@ -27,14 +28,17 @@ def source(spark: SparkSession, path: str, schema: str = RECORD, files_per_batch
 
 
 def fold_batch(store: Store, rows: DataFrame, batch: int, stream: str = "") -> bool:
-    """Fold one micro-batch: current and event counters are replaced, history is extended, all in one commit."""
+    """Fold one micro-batch into current rows, event counters and history, all in one commit.
+
+    It meets only the current rows of its own URLs and writes only what it changes, as a run of each table.
+    """
     spark = rows.sparkSession
-    current = store.read("url_state_current", ingest.no_state(spark))
+    current = store.read("url_state_current", ingest.no_state(spark), keys=rows.select("url").distinct())
     folded = ingest.fold(rows, current).persist()
     try:
+        newest = ingest.apply_fold(folded, ingest.no_state(spark))
         added = ingest.event_counters(folded, F.to_date("ts"))
-        counters = store.read("url_event_counter", spark.createDataFrame([], _COUNTER))
-        return store.commit({"url_state_current": ingest.apply_fold(folded, current), "url_event_counter": ingest.merge_counters(counters, added)}, {"url_state_history": folded}, batch, stream)
+        return store.commit(batch=batch, stream=stream, merge={"url_state_current": (newest, CURRENT), "url_event_counter": (added, COUNTER), "url_state_history": (folded, Rule())})
     finally:
         folded.unpersist()
 
