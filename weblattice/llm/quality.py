@@ -7,8 +7,8 @@ a histogram with enough entries is farther from it than the limit. Reference sum
 
 Limits come from the spread of the distances of all documents that pass the base rules, by nearest language and length (powers of two of the word count): the
 larger of the outer fence of the quartiles (Q3 + 3 (Q3 - Q1)) and the threshold that parts the distances best in two (Otsu's). The fence keeps a table without junk whole, the
-threshold finds the gap where there is junk. No label is used. A group with fewer than ``LEAST_GROUP`` documents takes the limits of its language, or of all. References, spread and verdicts
-each read all documents.
+threshold finds the gap where there is junk. No label is used. A group with fewer than ``LEAST_GROUP`` documents takes the limits of its language, or of all. Texts are
+read twice, for the references and for the counts and distances, which are written; spread and verdicts cover all of those rows.
 
 Base rules fail a document with fewer than ``least_words`` words, or more than half of whose words lie in repeated three-word windows.
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weblattice.llm.arrow import ASCII_LOWER, BLANK, NEWLINE, mix64, pieces, run_hashes, runs, utf8
+from weblattice.sources.scratch import cut
 
 #: Common words of the languages.
 COMMON_WORDS = {
@@ -45,6 +46,7 @@ STEPS, LEAST_GROUP = 1000, 100
 
 _WORDS = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
 _CLASSES = 10
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _classes() -> np.ndarray:
@@ -243,31 +245,31 @@ class Limits:
         return tuple(np.array([own.get(k, np.inf) for k in keys], np.float64) for own in (self.chars, self.words))
 
 
-def spread(docs: DataFrame, known: References, text_col: str = "text") -> Limits:
-    """Limits from the distances of all documents that pass the base rules."""
+def measured(docs: DataFrame, known: References, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the base counts, base_failed, both distances, the nearest language and the length class of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
-    langs = list(known.chars)
-    place = {g: k for k, g in enumerate(langs)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        for _, texts in pieces(batches, 0):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, 1):
             seen = measure(texts)
-            chars, words, of = sent.value.nearest(seen)
-            good, lengths = ~base_failed(seen.base), length_class(seen.base["n_words"])
-            for k in np.flatnonzero(good):
-                own = sums.setdefault((place[of[k]], int(lengths[k])), np.zeros((2, STEPS), np.int64))
-                own[0, min(int(chars[k] * STEPS), STEPS - 1)] += 1
-                own[1, min(int(words[k] * STEPS), STEPS - 1)] += 1
-        for (lang, length), own in sums.items():
-            at = np.flatnonzero(own.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.int32()), pa.array([length] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(own.ravel()[at])], names=["lang", "length", "at", "n"])
-
-    if not langs:
-        return Limits({}, {})
+            chars, words, langs = sent.value.nearest(seen)
+            lengths = length_class(seen.base["n_words"]).astype(np.int32)
+            columns = [batch.column(0), *(pa.array(seen.base[x]) for x in _BASE), pa.array(base_failed(seen.base)), pa.array(chars), pa.array(words), pa.array(langs, pa.string()), pa.array(lengths)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_BASE, "base_failed", "char_distance", "word_distance", "nearest", "length"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, " + "".join(f"{x} long, " for x in _BASE) + "base_failed boolean, char_distance double, word_distance double, nearest string, length int")
+
+
+def spread(rows: DataFrame) -> Limits:
+    """Limits from the distances of all ``measured`` documents that pass the base rules."""
+    step = lambda c: F.least(F.floor(F.col(c) * STEPS), F.lit(STEPS - 1)).cast("int")
+    places = F.explode(F.array(step("char_distance"), step("word_distance") + STEPS))
+    counts = rows.where(~F.col("base_failed") & F.col("nearest").isNotNull()).select("nearest", "length", places.alias("at")).groupBy("nearest", "length", "at").agg(F.count("*").alias("n"))
     groups: dict = {}
-    for r in docs.select(text_col).mapInArrow(count, "lang int, length int, at int, n long").groupBy("lang", "length", "at").agg(F.sum("n").alias("n")).collect():
-        for key in ((langs[r["lang"]], r["length"]), langs[r["lang"]], None):
+    for r in counts.collect():
+        for key in ((r["nearest"], r["length"]), r["nearest"], None):
             groups.setdefault(key, np.zeros(2 * STEPS))[r["at"]] += r["n"]
     large = {key: own.reshape(2, STEPS) for key, own in groups.items() if key is None or own.sum() >= 2 * LEAST_GROUP}
     return Limits(*({key: limit(own[k]) for key, own in large.items()} for k in range(2)))
@@ -275,20 +277,19 @@ def spread(docs: DataFrame, known: References, text_col: str = "text") -> Limits
 
 def judge(docs: DataFrame, known: References, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, both distances and kept of every row; without ``limits``, those of the spread of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast((known, spread(docs, known, text_col) if limits is None else limits))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rows = measured(docs, known, id_col, text_col)
+    if limits is None and known.chars:
+        rows = cut(rows, "measured")  # written: spread and verdict read numbers, no text
+        limits = spread(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(limits or Limits({}, {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, 1):
-            seen = measure(texts)
-            failed = base_failed(seen.base)
-            nearest, own = sent.value
-            chars, words, langs = nearest.nearest(seen)
-            char_limits, word_limits = own.of(langs, length_class(seen.base["n_words"]))
-            far = (chars > char_limits) & (seen.base["word_chars"] >= LEAST_CHARS) | (words > word_limits) & (seen.base["n_words"] >= LEAST_WORDS)
-            columns = [batch.column(0), *(pa.array(seen.base[x]) for x in names), pa.array(failed), pa.array(chars), pa.array(words), pa.array(~failed & ~far)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, "base_failed", "char_distance", "word_distance", "kept"])
+        for batch in batches:
+            chars, words, langs, lengths, n_words, n_chars = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("char_distance", "word_distance", "nearest", "length", "n_words", "word_chars"))
+            char_limits, word_limits = sent.value.of(langs, lengths)
+            far = (chars > char_limits) & (n_chars >= LEAST_CHARS) | (words > word_limits) & (n_words >= LEAST_WORDS)
+            kept = ~batch.column("base_failed").to_numpy(zero_copy_only=False).astype(bool) & ~far
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept)], names=[*batch.schema.names[:-2], "kept"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + "".join(f"{x} long, " for x in names) + "base_failed boolean, char_distance double, word_distance double, kept boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, " + "".join(f"{x} long, " for x in _BASE) + "base_failed boolean, char_distance double, word_distance double, kept boolean")
