@@ -432,22 +432,22 @@ def parse_pages(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    """The fetch log as two JSON files, streamed into a store one file at a time; the current state afterwards."""
+    """The fetch log in two parts of JSON files, each streamed into a store as one batch; the current state afterwards."""
     base = fresh(spark, "stream")
     log, split = derive.fetch_log(spark, sf_dir), F.lit(derive.SPLIT_AT).cast("timestamp")
     store = Store(spark, f"{base}/store")
     for part in (F.col("ts") < split, F.col("ts") >= split):
-        log.where(part).coalesce(1).write.mode("append").option("timestampFormat", MICROS).json(f"{base}/in")
-        streaming.run(streaming.source(spark, f"{base}/in", files_per_batch=1), store, f"{base}/checkpoint").awaitTermination()
+        log.where(part).write.mode("append").option("timestampFormat", MICROS).json(f"{base}/in")
+        streaming.run(streaming.source(spark, f"{base}/in", files_per_batch=None), store, f"{base}/checkpoint").awaitTermination()
     return store.read("url_state_current")
 
 
 def stream_event_counters(spark, sf_dir):
     """The same stream's daily counters."""
     base = fresh(spark, "stream")
-    derive.fetch_log(spark, sf_dir).coalesce(1).write.option("timestampFormat", MICROS).json(f"{base}/in")
+    derive.fetch_log(spark, sf_dir).write.option("timestampFormat", MICROS).json(f"{base}/in")
     store = Store(spark, f"{base}/store")
-    streaming.run(streaming.source(spark, f"{base}/in"), store, f"{base}/checkpoint").awaitTermination()
+    streaming.run(streaming.source(spark, f"{base}/in", files_per_batch=None), store, f"{base}/checkpoint").awaitTermination()
     return store.read("url_event_counter")
 
 

@@ -22,9 +22,10 @@ CURRENT = Rule(["url"])
 COUNTER = Rule(["url", "event_date"], sum=["num_scheduled", "num_fetch_ok", "num_fetch_fail", "num_content_update"], first=["accounted"])
 
 
-def source(spark: SparkSession, path: str, schema: str = RECORD, files_per_batch: int = 10) -> DataFrame:
-    """JSON line files below ``path``, oldest first, a few at a time."""
-    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("maxFilesPerTrigger", files_per_batch).json(path)
+def source(spark: SparkSession, path: str, schema: str = RECORD, files_per_batch: int | None = 10) -> DataFrame:
+    """JSON line files below ``path``, oldest first, a few at a time; None takes all there are in one batch."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*")
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).json(path)
 
 
 def fold_batch(store: Store, rows: DataFrame, batch: int, stream: str = "") -> bool:
