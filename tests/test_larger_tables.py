@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from weblattice.functions import html as H
 from weblattice.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -42,3 +43,12 @@ def equal(spark, larger):
 
 def test_titles_with_cut_references(equal):
     equal("extract_titles")
+
+
+def test_pages_with_cut_references(equal):
+    equal("parse_pages")
+
+
+def test_references_in_links():
+    page = '<title>a&amp</title><a href="/x?a=1&copy=2&amp;b=3">1 &lt 2 &lt; 3<script>x&&y&amp;</script></a>&#' + "9" * 5000 + ";"
+    assert H.parse_page("http://h.net/", page) == ("a&amp", [("http://h.net/x?a=1&b=3&copy=2", "1 &lt 2 < 3x&&y&amp;")])
