@@ -15,12 +15,13 @@ TITLES = ["A&amp;B &amp", "x &quot;y&quot", "1 &am", "2 &copy;&middot", "& &amp;
 
 @pytest.fixture(scope="module")
 def larger(sf_dir, tmp_path_factory):
-    """A folder of tables whose pages have cut titles."""
+    """A folder of tables whose pages have cut titles and come twice, the second time with another id."""
     out, con = tmp_path_factory.mktemp("larger"), duckdb.connect()
     for path in Path(sf_dir).iterdir():
         shutil.copyfile(path, out / path.name)
     cut = f"CASE WHEN page_id % 4 = 0 THEN '<title> ' || ({TITLES!r})[page_id // 4 % {len(TITLES)} + 1] || ' </title>' || html ELSE html END"
-    con.execute(f"COPY (SELECT page_id, url, {cut} AS html FROM '{sf_dir}/pages.parquet') TO '{out}/pages.parquet'")
+    twice = "unnest([page_id, page_id + 300])"  # of 50 queries and of every third page, both have the same
+    con.execute(f"COPY (SELECT {twice} AS page_id, url, {cut} AS html FROM '{sf_dir}/pages.parquet') TO '{out}/pages.parquet'")
     return out
 
 
@@ -52,3 +53,7 @@ def test_pages_with_cut_references(equal):
 def test_references_in_links():
     page = '<title>a&amp</title><a href="/x?a=1&copy=2&amp;b=3">1 &lt 2 &lt; 3<script>x&&y&amp;</script></a>&#' + "9" * 5000 + ";"
     assert H.parse_page("http://h.net/", page) == ("a&amp", [("http://h.net/x?a=1&b=3&copy=2", "1 &lt 2 < 3x&&y&amp;")])
+
+
+def test_golden_set_marks_repeated_urls_once(equal):
+    equal("golden_applied")
