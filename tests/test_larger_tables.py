@@ -15,13 +15,15 @@ TITLES = ["A&amp;B &amp", "x &quot;y&quot", "1 &am", "2 &copy;&middot", "& &amp;
 
 @pytest.fixture(scope="module")
 def larger(sf_dir, tmp_path_factory):
-    """A folder of tables whose pages have cut titles and come twice, the second time with another id; one has no URL."""
+    """A folder of tables whose pages have cut titles and come twice, the second time with another id; one has no URL. Events are of 1,500 users, so that domains and their copies share numbers."""
     out, con = tmp_path_factory.mktemp("larger"), duckdb.connect()
     for path in Path(sf_dir).iterdir():
         shutil.copyfile(path, out / path.name)
     cut = f"CASE WHEN page_id % 4 = 0 THEN '<title> ' || ({TITLES!r})[page_id // 4 % {len(TITLES)} + 1] || ' </title>' || html ELSE html END"
     twice = "unnest([page_id, page_id + 300])"  # of 50 queries and of every third page, both have the same
     con.execute(f"COPY (SELECT {twice} AS page_id, url, {cut} AS html FROM '{sf_dir}/pages.parquet' UNION ALL SELECT 1001, NULL, '<title>x</title>') TO '{out}/pages.parquet'")
+    user = "user_id + 150 * (event_id % 10) AS user_id"
+    con.execute(f"COPY (SELECT * REPLACE ({user}, event_id + 1000 * k AS event_id) FROM '{sf_dir}/events.parquet', range(3) r(k) WHERE k <= event_id % 3) TO '{out}/events.parquet'")
     return out
 
 
@@ -61,3 +63,8 @@ def test_golden_set_marks_repeated_urls_once(equal):
 
 def test_golden_plan_has_every_url_once(equal):
     equal("golden_inject_plan")
+
+
+@pytest.mark.parametrize("name", ["move_events"])
+def test_moves_of_many_domains(equal, name):
+    equal(name)
