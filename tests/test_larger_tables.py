@@ -65,6 +65,6 @@ def test_golden_plan_has_every_url_once(equal):
     equal("golden_inject_plan")
 
 
-@pytest.mark.parametrize("name", ["move_events", "split_history", "move_counts"])
+@pytest.mark.parametrize("name", ["move_events", "split_history", "move_counts", "move_history"])
 def test_moves_of_many_domains(equal, name):
     equal(name)
