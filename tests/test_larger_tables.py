@@ -65,6 +65,6 @@ def test_golden_plan_has_every_url_once(equal):
     equal("golden_inject_plan")
 
 
-@pytest.mark.parametrize("name", ["move_events", "split_history", "move_counts", "move_history"])
+@pytest.mark.parametrize("name", ["move_events", "split_history", "move_counts", "move_history", "split_events", "move_current", "move_domains"])
 def test_moves_of_many_domains(equal, name):
     equal(name)
